@@ -26,7 +26,7 @@ from voxmill.session import table
 #: Labelled rows, at most.
 EXAMPLE_ROWS = 20_000
 #: Weight of the corpus prior, in words; pseudo-log-odds of the lexicon; cost of a word without evidence.
-PRIOR, STRONG, WEAK, PHRASE, GROUP, DRIFT = 500.0, 4.0, 1.2, 3.2, 1.0, 0.35
+PRIOR, STRONG, WEAK, PHRASE, GROUP, DRIFT = 500.0, 4.4, 1.2, 3.2, 1.0, 0.35
 #: Times that a harmless example counts in the corpus; limits of a word's score.
 HARMLESS_WEIGHT, CEILING, FLOOR = 30.0, 5.0, -3.0
 #: Most that a word outside of the lexicon can score: one alone is no proof. Evidence counts in full for words so rare
@@ -35,7 +35,7 @@ LEARNT, COMMON, RARE_SPAN = 2.6, -3.2, 1.3
 #: Rounds in which labelled texts are narrowed to their worst passage.
 ROUNDS = 4
 #: Expected number of chance segments per text below which one is significant, and the least score of one.
-SIGNIFICANT, LEAST_SCORE = 0.05, 3.3
+SIGNIFICANT, LEAST_SCORE = 0.5, 3.3
 
 #: Share of the positions of a text at which a chance segment may start.
 CHANCE = 0.1
@@ -97,9 +97,10 @@ class Scorer:
         self.last = {p[-1] for p in many}
         self.longest = max(map(len, many), default=1)
         self.starred: dict[str, str] = {}
-        for w, v in one.items():
-            if v >= 2.5 and len(w) >= 4:
-                for i in range(1, len(w)):
+        self.names = sorted({w for w, v in one.items() if v >= 1.0} | {w for p, v in many.items() if v > 0 for w in p}, key=lambda w: (-one.get(w, 0.0), w))
+        for w in self.names:
+            if len(w) >= 3:
+                for i in range(len(w)):
                     self.starred.setdefault(w[:i] + "*" + w[i + 1 :], w)
         self.known: dict[str, float] = {}
 
@@ -107,11 +108,6 @@ class Scorer:
         got = self.known.get(w)
         if got is None:
             got = self.one.get(w)
-            if got is None and "*" in w:
-                got = self.one.get(self.starred.get(w, ""))
-                if got is None and re.fullmatch(r"\w+\*+\w*", w):
-                    like = re.compile(re.sub(r"\*+", r"\\w+", w))
-                    got = max((v for x, v in self.one.items() if v >= 2.5 and abs(len(x) - len(w)) <= 1 and like.fullmatch(x)), default=None)
             if got is None and len(w) >= 6:
                 got = next((v * 0.9 for e in ENDINGS if w.endswith(e) and (v := self.one.get(w[: -len(e)], 0.0)) >= 3.0), None)
             if got is None and re.search(r"(.)\1", w) and (v := self.one.get(re.sub(r"(.)\1+", r"\1", w), 0.0)) >= 3.0:
@@ -121,7 +117,18 @@ class Scorer:
             got = self.known[w] = (0.0 if got is None else got) - DRIFT
         return got
 
+    def plain(self, w: str) -> str:
+        """A word with asterisks as the worst listed word it can stand for."""
+        if "*" not in w or not any(c.isalpha() for c in w):
+            return w
+        got = self.starred.get(w)
+        if got is None:
+            like = re.compile(re.sub(r"\\?\*+", r"\\w+", re.escape(w)))
+            got = self.starred[w] = next((x for x in self.names if abs(len(x) - len(w)) <= 1 and like.fullmatch(x)), w)
+        return got
+
     def scores(self, ws: list[str]) -> list[float]:
+        ws = [self.plain(w) for w in ws]
         s = [self.word(w) for w in ws]
         for i, w in enumerate(ws):
             if w in self.last:

@@ -38,11 +38,11 @@ ausländer einwanderer flüchtlinge frauen schwule muslime juden schwarze zigeun
 PHRASES = """
 go to hell|drop dead|drops dead|i will kill|kill you|kill him|kill her|kill them|smash his|smash her|smash your|his teeth|your teeth|watch your back|where you live|where he lives|where she lives|
 you will regret|burn down your|break your|hope you die|piece of shit|shut up|shut your mouth|crawl back|too dumb|too stupid|by nature|not human|not humans|thrown out|stay at home instead|
-go back to where|do not belong|nude pictures|naked pictures|sleep with me|show me everything|are you wearing|take off your|under that uniform|should be shot|should be gassed|all thieves|in bed|
+go back to where|do not belong|nude pictures|naked pictures|sleep with me|see her naked|see him naked|see you naked|naked girls|show me everything|are you wearing|take off your|under that uniform|should be shot|should be gassed|all thieves|in bed|
 tahu rumahmu|tahu rumah|akan menyesal|akan kubunuh|saya bunuh|kubunuh|kuhajar|saya hajar|memang binatang|usir saja|terlalu bodoh|dasar maling|makan uang|foto bugil|tidur dengan|temani saya tidur|buka baju|mati saja|otak udang|bukan manusia|pulang saja|
 hijo de puta|hijos de puta|hija de puta|vete al infierno|te voy a matar|voy a matar|sé dónde vives|te vas a arrepentir|romper los dientes|romperé los dientes|ojalá te mueras|ojalá os muráis|demasiado tontas|demasiado tontos|por naturaleza|no son humanos|
 fuera de aquí|vete a tu país|quítate la ropa|fotos desnuda|acostarte conmigo|que se desnude|banda de|
-fahr zur hölle|ich bringe dich um|bringe euch um|weiß wo du wohnst|weiß wo ihr wohnt|wirst es bereuen|die zähne ein|zu dumm|zu blöd|von natur aus|keine menschen|gehören weg|raus aus|zieh dich aus|soll sich ausziehen|für mich ausziehen|nackt sehen|mit mir schlafen|halt die fresse|halt die klappe|
+fahr zur hölle|ich bringe dich um|bringe euch um|weiß wo du wohnst|weiß wo ihr wohnt|wirst es bereuen|die zähne ein|zu dumm|zu blöd|von natur aus|keine menschen|gehören weg|raus aus|zieh dich aus|soll sich ausziehen|für mich ausziehen|nackt sehen|sie nackt|dich nackt|mit mir schlafen|halt die fresse|halt die klappe|
 va te faire|allez vous faire|je vais te tuer|je vais vous tuer|je sais où tu habites|je sais où vous habitez|tu vas le regretter|vous allez le regretter|casser les dents|trop bêtes|trop stupides|trop bête|par nature|pas des humains|bande de|toute nue|coucher avec moi|
 déshabille-toi|ferme ta gueule|fermez vos gueules|fils de pute|rentrez chez vous|dehors les
 """
