@@ -61,3 +61,43 @@ def window_hash(values: np.ndarray, n: int) -> np.ndarray:
             h = (h + values[k : len(values) - n + 1 + k].astype(np.uint64) + np.uint64(1)) * BASE
             h ^= h >> np.uint64(29)
         return h
+
+
+#: Bits of a filter that is sent to all executors in place of a set of keys: 1 MiB at any size of the set.
+FILTER_BITS = 1 << 23
+
+
+def bit_positions(keys: list) -> np.ndarray:
+    """Two bit positions a key."""
+    import xxhash
+
+    h = np.array([xxhash.xxh64_intdigest(str(k)) for k in keys], np.uint64)
+    return np.stack([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)], 1).astype(np.int64)
+
+
+def bloom_bits(keys: DataFrame, key_col: str) -> np.ndarray:
+    """The Bloom filter of a column, built by the executors; FILTER_BITS bits whatever the number of keys."""
+
+    def bits(b: pa.RecordBatch) -> dict:
+        p = np.unique(bit_positions(b.column("k").to_pylist()))
+        at, start = np.unique(p >> 3, return_index=True)
+        return {"byte": at, "mask": np.bitwise_or.reduceat((1 << (p & 7)).astype(np.int32), start)}
+
+    filled = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for r in arrow_map(keys.select(F.col(key_col).alias("k")), bits, "byte bigint, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        filled[r["byte"]] = r["mask"]
+    return filled
+
+
+def bloom_keep(df: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
+    """The rows of `df` whose key may be among `keys`: all that are, and few others, without a shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(bloom_bits(keys, key_col).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            if b.num_rows:
+                p = bit_positions(b.column(key_col).to_pylist())
+                yield b.filter(pa.array((filled[p >> 3] >> (p & 7) & 1).all(1)))
+
+    return df.mapInArrow(run, df.schema)
