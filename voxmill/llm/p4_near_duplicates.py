@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import arrow_map, verbatims
+from voxmill.llm.common import arrow_map, bloom_keep, verbatims
 from voxmill.operators.components import connected_components
 from voxmill.session import cut_lineage
 
@@ -34,8 +34,8 @@ SEGMENTS, SEGMENT_SYMBOLS = 6, 6
 HASHES = 128
 #: Similarity of a pair: common words over words of both together.
 SIMILARITY = 0.75
-#: Largest distance of the first half, and of the whole, of the sketches of a pair; 3.8 standard deviations above the mean at 0.75.
-HALF_DISTANCE, WHOLE_DISTANCE = 18, 30
+#: Largest distance of the sketches of a pair; 3.8 standard deviations above the mean at 0.75.
+WHOLE_DISTANCE = 30
 
 _rng = np.random.default_rng(20240611)
 _MUL = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -86,7 +86,6 @@ def _signatures(b: pa.RecordBatch) -> dict | None:
     return {
         "id": b.column("id").take(pa.array(keep)),
         "set_id": [hashlib.md5(s.tobytes()).digest() for s in sets],
-        "n": [len(s) for s in sets],
         "symbols": [r.tobytes() for r in symbols],
         "s0": sketch[:, 0].view(np.int64),
         "s1": sketch[:, 1].view(np.int64),
@@ -99,25 +98,27 @@ def _ball_keys() -> Column:
     for s in range(SEGMENTS):
         for j in range(SEGMENT_SYMBOLS):
             a = 1 + s * SEGMENT_SYMBOLS
-            out.append(f"xxhash64({s * SEGMENT_SYMBOLS + j}, substring(symbols, {a}, {j}), substring(symbols, {a + j + 1}, {SEGMENT_SYMBOLS - 1 - j}))")
+            out.append(f"hash({s * SEGMENT_SYMBOLS + j}, substring(symbols, {a}, {j}), substring(symbols, {a + j + 1}, {SEGMENT_SYMBOLS - 1 - j}))")
     return F.expr(f"array({', '.join(out)})")
 
 
 def similar_pairs(signatures: DataFrame, src: DataFrame) -> DataFrame:
     """(u, v, similarity): set ids of verified pairs of classes, u < v."""
-    classes = signatures.select("set_id", "n", "symbols", "s0", "s1").dropDuplicates(["set_id"])
+    classes = signatures.select("set_id", "symbols", "s0", "s1").dropDuplicates(["set_id"])
     # A class goes through the join by a short number; the set id decides later, so equal numbers do no harm.
-    keyed = classes.select(F.xxhash64("set_id").alias("c"), "s0", F.col("n").cast("int").alias("n"), F.explode(_ball_keys()).alias("key"))
-    left, right = keyed, keyed.select(F.col("c").alias("d"), F.col("s0").alias("t0"), F.col("n").alias("m"), "key")
-    met = left.join(right, "key").where(f"c < d AND bit_count(s0 ^ t0) <= {HALF_DISTANCE} AND least(n, m) >= {SIMILARITY} * greatest(n, m)").select("c", "d").distinct()
-    short = classes.select(F.xxhash64("set_id").alias("c"), "set_id", "s0", "s1")
-    met = met.join(short.select("c", F.col("set_id").alias("u"), F.col("s0").alias("u0"), F.col("s1").alias("u1")), "c")
-    met = met.join(short.select(F.col("c").alias("d"), F.col("set_id").alias("v"), F.col("s0").alias("v0"), F.col("s1").alias("v1")), "d")
-    near = cut_lineage(met.where(f"bit_count(u0 ^ v0) + bit_count(u1 ^ v1) <= {WHOLE_DISTANCE}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    # Both sides are one plan, so their keys are shuffled once.
+    keyed = classes.select(F.xxhash64("set_id").alias("c"), "s0", "s1", F.explode(_ball_keys()).alias("key"))
+    close = f"a.key = b.key AND a.c < b.c AND bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= {WHOLE_DISTANCE}"
+    met = cut_lineage(keyed.alias("a").join(keyed.alias("b"), F.expr(close)).select(F.col("a.c").alias("c"), F.col("b.c").alias("d")).distinct())
+    number = signatures.select(F.xxhash64("set_id").alias("c"), "set_id")
+    ends = met.select("c").union(met.select("d")).distinct()
+    named = number.join(ends, "c", "left_semi").distinct()
+    near = met.join(named.select("c", F.col("set_id").alias("u")), "c").join(named.select(F.col("c").alias("d"), F.col("set_id").alias("v")), "d")
+    near = cut_lineage(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     # The words of the classes that are left, one text for each.
     wanted = near.select(F.col("u").alias("set_id")).union(near.select("v")).distinct()
     one = signatures.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id"))
-    chosen = src.join(one, "id").dropDuplicates(["set_id"])
+    chosen = bloom_keep(src, "id", one).join(one, "id").dropDuplicates(["set_id"])
     words = arrow_map(chosen.select("set_id", "text"), lambda b: {"set_id": b.column("set_id"), "bag": bags(b.column("text").to_pylist())}, "set_id binary, bag array<bigint>")
     both = near.join(words.select(F.col("set_id").alias("u"), F.col("bag").alias("a")), "u").join(words.select(F.col("set_id").alias("v"), F.col("bag").alias("b")), "v")
     common = both.withColumn("k", F.size(F.array_intersect("a", "b")))
@@ -134,7 +135,7 @@ def groups(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     src = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = src.schema["id"].dataType.simpleString()
-    signatures = cut_lineage(arrow_map(src, _signatures, f"id {kind}, set_id binary, n bigint, symbols binary, s0 bigint, s1 bigint"))
+    signatures = cut_lineage(arrow_map(src, _signatures, f"id {kind}, set_id binary, symbols binary, s0 bigint, s1 bigint"))
     edges = cut_lineage(similar_pairs(signatures, src).select("u", "v"))
     comp = connected_components(edges)
     links = edges.select("u").union(edges.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
