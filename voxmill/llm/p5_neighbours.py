@@ -190,7 +190,8 @@ def search(index: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
                 cols = [pa.array([c.column(n).to_pylist()], target.field(i).type) for i, n in enumerate(("query", "id", "k"))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes()], pa.binary())], schema=target)
 
-    blocks = queries.select("query", "id", F.col("k").cast("int").alias("k"), "v").mapInArrow(pack, block_schema)
+    # Kept, as the product below reads them again for every partition of the index.
+    blocks = cut_lineage(queries.select("query", "id", F.col("k").cast("int").alias("k"), "v").mapInArrow(pack, block_schema))
     out = queries.sparkSession.createDataFrame([], f"query {qk}, id {ik}, k int, similarity double").schema
 
     def run(batches):
