@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import arrow_map, lengths_to_owner, verbatims, window_hash
+from voxmill.llm.common import arrow_map, hash_sample, lengths_to_owner, verbatims, window_hash
 
 WORD = re.compile(r"[^\W\d_]+")
 WORD_ORDERS = (1, 2, 3, 4, 6, 10)
@@ -144,7 +144,7 @@ def score(texts: DataFrame, id_col: str, text_col: str, train_rows: int = TRAIN_
     scores and shares included, is computed over all rows and whole texts.
     """
     src = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = src.where("text IS NOT NULL").orderBy(F.xxhash64("id", "text"), "id").limit(train_rows).select("text")
+    sample = hash_sample(src.where("text IS NOT NULL"), train_rows, "id", "text").select("text")
     model = fit([r.text for r in sample.collect()])
 
     def run(b: pa.RecordBatch) -> dict:

@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm.common import arrow_map, lengths_to_owner, verbatims, window_hash
+from voxmill.session import cut_lineage
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/\-]\d+)*|[^\w\s]")
 TERMINATORS = frozenset(".!?。！？")
 #: Marks that may follow a sentence without ending it.
-TRAILING = re.compile(r"(?:\s|[^\w\s,;:&<>\-/\"“«\[{%€$£+=#@]|[:;][-']?[()DPp/|])+$")
+SMILEY = re.compile(r"[:;=][-']?[()DPp/|]+\s*$")
+#: Marks after which a sentence goes on; all others may follow its last word.
+GOES_ON = frozenset(",;:&<>-/\"“«[{%€$£+=#@")
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 ORDERS = (1, 2, 3, 5)
 #: Words kept as they are in contexts; the others share one mask.
@@ -43,6 +46,9 @@ BACKOFF = 2.0
 LIMIT_COUNT, LIMIT_PEAK, LIMIT_SPAN = 5, 8.0, 30
 #: "Rp 1." may be a finished sentence or an amount cut inside its groups of three.
 AMOUNT_CUT = re.compile(r"(?i:rp|idr|usd|eur|[€$£]) ?\d{1,3}[.]$")
+ESCAPES = frozenset("&\\%<")
+MARKS = re.compile(r"[()\[\]{}“”«»„]")
+WORD = re.compile(r"[^\W\d_]+")
 BROKEN_ESCAPE = re.compile(r"(?:&#?\w{0,8}|\\u?[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%[0-9a-fA-F]?|<[/!]?[a-zA-Z][^<>]{0,200}|<[/!]?)$")
 MASK, NUMBER, STOP = 0, 1, 2
 
@@ -52,21 +58,40 @@ def automaton(text: str) -> str | None:
     t = text.rstrip()
     if not t:
         return "finished"
-    if t.endswith("�") or BROKEN_ESCAPE.search(t[-210:]):
+    end = t[-210:]
+    if t.endswith("�") or not ESCAPES.isdisjoint(end) and BROKEN_ESCAPE.search(end):
         return "broken"
+    bare = bare_end(t)
+    ended = bool(TERMINATORS.intersection(t[len(bare) :])) and not t[len(bare) :].lstrip().startswith((".." , "…"))
+    if ended and not AMOUNT_CUT.search(t[-12:]):
+        return "finished"
+    return "broken" if open_marks(t) else None
+
+
+def open_marks(t: str) -> bool:
+    """Whether the stack of brackets and quotes holds something at the end that is not part of a smiley."""
     stack: list[str] = []
-    for m in re.finditer(r"[()\[\]{}“”«»„]", t):
+    for m in MARKS.finditer(t):
         c = m[0]
-        if c in PAIRS and not (c == "“" and stack and stack[-1] == "“"):
-            if not re.fullmatch(r"[:;=][-']?", t[max(0, m.start() - 2) : m.start()].strip()[-2:] or " "):
-                stack.append(PAIRS[c])
-        elif stack and stack[-1] == c:
+        if stack and stack[-1] == c and c != "“":
             stack.pop()
-    bare = TRAILING.sub("", t)
-    ended = bool(TERMINATORS.intersection(t[len(bare) :])) and not t[len(bare) :].lstrip().startswith((".." , "…"))
-    if ended and not AMOUNT_CUT.search(t):
-        return "finished"
-    return "broken" if stack and "".join(stack) != ")" else None
+        elif c in PAIRS and not t[max(0, m.start() - 1) : m.start()] in (":", ";", "=", "-"):
+            stack.append(PAIRS[c])
+    return bool(stack) and stack != [")"]
+
+
+def bare_end(t: str) -> str:
+    """A text without the marks and smileys behind its last word."""
+    for _ in range(2):
+        if m := SMILEY.search(t, max(0, len(t) - 8)):
+            t = t[: m.start()]
+        i = len(t)
+        while i and not t[i - 1].isalnum() and t[i - 1] not in GOES_ON:
+            i -= 1
+        t, before = t[:i], t
+        if t == before:
+            break
+    return t
 
 
 def tokens(text: str) -> list[str]:
@@ -75,17 +100,18 @@ def tokens(text: str) -> list[str]:
 
 def open_tail(text: str) -> list[str]:
     """Tokens of a text with an open end, without marks behind the last word."""
-    return tokens(TRAILING.sub("", text.rstrip()))
+    return tokens(bare_end(text.rstrip()))
 
 
 def _vocabulary(b: pa.RecordBatch) -> dict:
     """Counts of the words that are certainly whole: all but the last one of a text with an open end."""
     n: Counter[str] = Counter()
     for t in b.column("text").to_pylist():
-        ws = tokens(t)
-        if automaton(t) != "finished":
-            ws = open_tail(t)[:-1]
-        n.update(w for w in ws if w[0].isalpha())
+        ws = WORD.findall(html.unescape(t).lower())
+        n.update(ws)
+        if ws and automaton(t) != "finished":
+            n[ws[-1]] -= 1
+    n = +n
     return {"word": list(n), "n": list(n.values())}
 
 
@@ -103,6 +129,11 @@ def _encode(all_tokens: list[list[str]], kept: dict[str, int]) -> tuple[np.ndarr
     return flat, lens
 
 
+def context_key(h: np.ndarray, n: int) -> np.ndarray:
+    """The key of a context of n tokens."""
+    return ((h & ~np.uint64(1)) ^ np.uint64(2 * n)).view(np.int64)
+
+
 def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, n_chars, verdict, end_chance, is_cut), one row per distinct id.
 
@@ -113,7 +144,7 @@ def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) ->
     spark = texts.sparkSession
     src = texts.where(F.col(text_col).rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     words = arrow_map(src.select("text"), _vocabulary, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = words.persist()
+    words = cut_lineage(words)
     kept = {r.word: 10 + i for i, r in enumerate(words.orderBy(F.desc("n"), "word").limit(KEPT_WORDS).collect())}
 
     def contexts(b: pa.RecordBatch) -> dict:
@@ -128,10 +159,12 @@ def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) ->
             if m < 1:
                 continue
             ok = (owner[:m] == owner[n : n + m]) & (flat[n - 1 : n - 1 + m] != STOP)
-            u, inv = np.unique(h[:m][ok], return_inverse=True)
-            out_h.append((u ^ np.uint64(n)).view(np.int64))
-            out_n.append(np.bincount(inv, minlength=len(u)))
-            out_e.append(np.bincount(inv, weights=flat[n : n + m][ok] == STOP, minlength=len(u)).astype(np.int64))
+            # the lowest bit of a sorted key says whether a terminator follows
+            key = np.sort((h[:m][ok] & ~np.uint64(1)) | (flat[n : n + m][ok] == STOP).astype(np.uint64))
+            at = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)])) if len(key) else np.empty(0, np.int64)
+            out_h.append(context_key(key[at], n))
+            out_n.append(np.diff(np.append(at, len(key))))
+            out_e.append(np.add.reduceat((key & np.uint64(1)).astype(np.int64), at) if len(at) else at)
         return {"h": np.concatenate(out_h), "n": np.concatenate(out_n), "e": np.concatenate(out_e)} if out_h else None
 
     seen = arrow_map(src.select("text"), contexts, "h bigint, n bigint, e bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
@@ -139,15 +172,17 @@ def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) ->
     def judge(b: pa.RecordBatch) -> dict:
         rows = b.column("text").to_pylist()
         how = [automaton(t) for t in rows]
-        tails = [open_tail(t)[-max(ORDERS) :] if v is None else [] for t, v in zip(rows, how, strict=True)]
+        # a long tail holds the last tokens of the whole text; a token that begins before it is never among them
+        tails = [open_tail(t[-1500:])[-max(ORDERS) :] if v is None else [] for t, v in zip(rows, how, strict=True)]
         hs = []
         for ws in tails:
             flat, _ = _encode([ws], kept)
-            hs.append([int((window_hash(flat[-n:], n) ^ np.uint64(n)).view(np.int64)[0]) for n in ORDERS if len(flat) >= n])
+            hs.append([int(context_key(window_hash(flat[-n:], n), n)[0]) for n in ORDERS if len(flat) >= n])
         return {"id": b.column("id"), "source": b.column("source"), "n_chars": [len(t) for t in rows], "how": how, "word": [ws[-1] if ws and ws[-1][0].isalpha() else None for ws in tails], "hs": hs}
 
     kind = {f.name: f.dataType.simpleString() for f in src.schema}
     judged = arrow_map(src, judge, f"id {kind['id']}, source {kind['source']}, n_chars bigint, how string, word string, hs array<bigint>").dropDuplicates(["id"])
+    judged = cut_lineage(judged)
     by_length = judged.groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("c"))
     below = Window.partitionBy("source").orderBy("n_chars").rangeBetween(-LIMIT_SPAN, -1)
     limits = by_length.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)) / LIMIT_SPAN).where(f"c >= {LIMIT_COUNT} AND c >= {LIMIT_PEAK} * below")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import arrow_map
+from voxmill.llm.common import arrow_map, hash_sample
 from voxmill.session import table
 
 # What labels call the languages, in lower case.
@@ -175,7 +175,7 @@ def classify(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarr
 
 
 def _model(src: DataFrame, train_rows: int) -> dict:
-    sample = src.where("text IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("text", "label")
+    sample = hash_sample(src.where("text IS NOT NULL AND label IS NOT NULL"), train_rows, "id").select("text", "label")
     rows = [(r.text, x[0]) for r in sample.collect() if len(x := label_languages(r.label)) == 1]
     return fit(rows)
 
