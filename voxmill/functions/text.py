@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 UNNAMED = "Unnamed cluster"
@@ -126,17 +127,17 @@ def prefix_object(text: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-@pandas_udf("map<string,string>")
+@pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def json_salvage(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if (d := salvage(t)) is None else {k: v if isinstance(v, str) else json.dumps(v) for k, v in d.items()})
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def json_prefix(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if (d := prefix_object(t)) is None else json.dumps(d, ensure_ascii=False))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def json_line_kind(s: pd.Series) -> pd.Series:
     """'object', 'other' or 'bad' for a stripped line."""
 
@@ -149,7 +150,7 @@ def json_line_kind(s: pd.Series) -> pd.Series:
     return s.map(kind)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def json_line_clean(s: pd.Series) -> pd.Series:
     """A line's object written plainly: the last of equal keys, no NaN, nested values as JSON text."""
 

@@ -39,11 +39,19 @@ def counters(spark: SparkSession, folder: str) -> DataFrame:
     """(seen, skipped_id, skipped_text, malformed): one row; an object without id is skipped for that alone."""
     from voxmill.operators.ingest import reject_reason
 
-    bad = scan(spark, folder).agg(F.count_if("kind <> 'object'").alias("malformed"))
+    bad = scan(spark, folder).agg(F.count_if(F.expr("kind <> 'object'")).alias("malformed"))
     ok = records(spark, folder).withColumn("why", reject_reason())
-    return ok.agg(F.count(F.lit(1)).alias("seen"), F.count_if("why = 'missing_case_id'").alias("skipped_id"), F.count_if("why = 'empty_verbatim'").alias("skipped_text")).crossJoin(bad)
+    return ok.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.expr("why = 'missing_case_id'")).alias("skipped_id"), F.count_if(F.expr("why = 'empty_verbatim'")).alias("skipped_text")).crossJoin(bad)
 
 
-def with_sequence(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
-    """A gapless number over a stated order; for tables that one task can rank."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def with_sequence(df: DataFrame, first: str, *order: str, name: str = "seq") -> DataFrame:
+    """`df` with a gapless number over the order of `first` and the further columns, nulls first.
+
+    Rows are ranked within each value of `first`, in parallel, and moved by the number of rows before it,
+    a running sum over one row per value.
+    """
+    sizes = df.groupBy(F.col(first).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(first).orderBy(*order)))
+    return ranked.join(starts, F.col(first).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_before") + F.col("_r")).drop("_g", "_before", "_r")
