@@ -89,7 +89,7 @@ def fixed(c: Column | str, digits: int) -> Column:
 
 def markdown_cell(c: Column | str) -> Column:
     """Text for a cell of a pipe table: line breaks as <br>, pipes escaped, null empty."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"\r?\n", "<br>"), r"\|", r"\\\\|")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"\r?\n", "<br>"), r"\|", r"\\|")
 
 
 def markdown_header(name: str) -> str:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS = 5_000
+#: Fitted rows of all groups together that are sent to every task.
+MOST_FITTED = 100_000
 
 
 def spanning_tree(x: np.ndarray) -> np.ndarray:
@@ -140,18 +142,32 @@ def hdbscan(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 10
     done = fitted.groupBy("g").applyInPandas(run, f"g {kinds['g']}, id {kinds['id']}, v array<double>, cluster int")
     if share >= 1:
         return done.select(F.col("g").alias(group or "group"), F.col("id").alias(id_col), "cluster")
-    core = done.groupBy("g").agg(F.collect_list(F.struct("v", "cluster")).alias("core"))  # at most fit_rows each
+    fit: dict = {}
+    for r in done.select("g", "v", "cluster").limit(MOST_FITTED + 1).collect():
+        fit.setdefault(r["g"], ([], []))
+        fit[r["g"]][0].append(r["v"])
+        fit[r["g"]][1].append(r["cluster"])
+    if sum(len(v[1]) for v in fit.values()) > MOST_FITTED:
+        raise ValueError(f"more than {MOST_FITTED} fitted rows in all groups; lower fit_rows")
+    ready = {}
+    for g_, (xs, labs) in fit.items():
+        x, lab = np.array(xs, float), np.array(labs)
+        reach = np.array([spanning_tree(x[lab == k])[:, 2].max(initial=0.0) for k in range(lab.max(initial=-1) + 1)] + [-1.0])
+        ready[g_] = (x, lab, reach)
+    shared = df.sparkSession.sparkContext.broadcast(ready)
 
     def rest(it):
         for pdf in it:
-            for (_, part) in pdf.groupby("g", dropna=False):
-                c = part["core"].iloc[0]
-                x, lab = np.array([r["v"] for r in c], float), np.array([r["cluster"] for r in c])
-                reach = {k: spanning_tree(x[lab == k])[:, 2].max(initial=0.0) for k in set(lab) if k >= 0}
+            for g_, part in pdf.groupby("g", dropna=False):
+                if g_ not in shared.value:  # no row of the group was fitted
+                    yield pd.DataFrame({"g": part["g"], "id": part["id"], "cluster": np.full(len(part), -1, "int32")})
+                    continue
+                x, lab, reach = shared.value[g_]
                 v = np.array(part["v"].tolist(), float)
                 d = np.sqrt(np.maximum((v**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * v @ x.T, 0))
                 near = d.argmin(1)
-                yield pd.DataFrame({"g": part["g"], "id": part["id"], "cluster": [int(lab[j]) if lab[j] >= 0 and d[i, j] <= reach[lab[j]] else -1 for i, j in enumerate(near)]})
+                got = np.where(d[np.arange(len(v)), near] <= reach[lab[near]], lab[near], -1)
+                yield pd.DataFrame({"g": part["g"], "id": part["id"], "cluster": got.astype("int32")})
 
-    joined = src.join(F.broadcast(core), "g").mapInPandas(rest, f"g {kinds['g']}, id {kinds['id']}, cluster int")
+    joined = src.mapInPandas(rest, f"g {kinds['g']}, id {kinds['id']}, cluster int")
     return joined.select(F.col("g").alias(group or "group"), F.col("id").alias(id_col), "cluster")

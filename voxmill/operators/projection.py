@@ -119,23 +119,25 @@ def project(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int, dims: in
     placed = fitted.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"id {kind}, v array<double>, point array<double>")
     if df.count() <= fit_rows:
         return placed.select(F.col("id").alias(id_col), "point")
-    core = placed.agg(F.collect_list(F.struct("v", "point")).alias("core"))  # at most fit_rows
+    core = placed.select("v", "point").collect()  # at most fit_rows
+    x, y = np.array([r["v"] for r in core], float), np.array([r["point"] for r in core], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    shared = df.sparkSession.sparkContext.broadcast((x, y))
 
     def rest(it):
+        x, y = shared.value
         for pdf in it:
             if pdf.empty:
                 continue
-            c = pdf["core"].iloc[0]
-            x, y = np.array([r["v"] for r in c], float), np.array([r["point"] for r in c], float)
-            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
             v = np.array(pdf["v"].tolist(), float)
             s = v @ x.T / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-            near = np.argsort(-s, axis=1)[:, : min(5, len(x))]
-            w = np.exp(10 * (np.take_along_axis(s, near, 1) - np.take_along_axis(s, near[:, :1], 1)))
+            near = np.argpartition(-s, min(5, len(x)) - 1, axis=1)[:, : min(5, len(x))]
+            close = np.take_along_axis(s, near, 1)
+            w = np.exp(10 * (close - close.max(1, keepdims=True)))
             yield pd.DataFrame({"id": pdf["id"], "point": list((y[near] * w[:, :, None]).sum(1) / w.sum(1)[:, None])})
 
     src = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return src.crossJoin(F.broadcast(core)).mapInPandas(rest, f"id {kind}, point array<double>").withColumnRenamed("id", id_col)
+    return src.mapInPandas(rest, f"id {kind}, point array<double>").withColumnRenamed("id", id_col)
 
 
 def sweep(df: DataFrame, id_col: str, vec_col: str, low: int = 15, high: int = 25, seed: int = 42, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -44,7 +44,7 @@ def topics(points: DataFrame, config: PipelineConfig | None = None, n_neighbors:
     evaluation = cut_lineage(projection.sweep(pts, id_col, vec_col, c.n_neighbors_low, c.n_neighbors_high, c.seed))
     n = points.count()
     k = projection.clamp_neighbors(projection.choose(evaluation, override=n_neighbors), n)
-    flat = projection.project(pts, id_col, vec_col, k, c.components, c.seed)
+    flat = cut_lineage(projection.project(pts, id_col, vec_col, k, c.components, c.seed))
     lab = cut_lineage(density.hdbscan(flat, id_col, "point", min(c.min_cluster_size, max(2, n))).select(id_col, "cluster"))
     labelled = points.join(lab, id_col).withColumnRenamed(id_col, "id") if id_col != "id" else points.join(lab, "id")
     kw = cut_lineage(keywords.extract(labelled, c.top_n, c.keyword_chars, text_col=text_col))

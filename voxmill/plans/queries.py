@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import dialogue, text
 from voxmill.operators import density, ingest, keywords, projection, report, synth, vectors
-from voxmill.session import table
+from voxmill.session import cut_lineage, table
 from voxmill.sources import sinks, telesales
 from voxmill.sources.jsonl import with_sequence
 
@@ -424,7 +424,7 @@ def umap_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hdbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     """Cluster of every usable point after projection to five dimensions."""
-    flat = projection.project(_points(spark, d), "id", "embedding", 15, 5, fit_rows=2_000)
+    flat = cut_lineage(projection.project(_points(spark, d), "id", "embedding", 15, 5, fit_rows=2_000))
     return density.hdbscan(flat, "id", "point", 10, fit_rows=2_000).select("id", "cluster")
 
 
