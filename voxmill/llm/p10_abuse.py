@@ -143,19 +143,27 @@ class Scorer:
         return s
 
     def segments(self, ws: list[str]) -> list[tuple[float, int, int]]:
-        """(score, start, end) of every maximum-scoring segment, in one pass."""
-        out, total, start, best, end = [], 0.0, 0, 0.0, 0
+        """(score, start, end) of every maximum-scoring segment, in one pass.
+
+        A segment is kept with the running sums before and after it. A later one joins the nearest earlier one
+        that began lower, if that makes both together higher than the earlier one alone.
+        """
+        held: list[tuple[float, float, int, int]] = []
+        total = 0.0
         for i, x in enumerate(self.scores(ws)):
-            if total <= 0:
-                if best > 0:
-                    out.append((best, first, end))
-                total, start, best = 0.0, i, 0.0
+            if x > 0:
+                low, high, start = total, total + x, i
+                while True:
+                    j = len(held) - 1
+                    while j >= 0 and held[j][0] >= low:
+                        j -= 1
+                    if j < 0 or held[j][1] >= high:
+                        break
+                    low, start = held[j][0], held[j][2]
+                    del held[j:]
+                held.append((low, high, start, i + 1))
             total += x
-            if total > best:
-                best, first, end = total, start, i + 1
-        if best > 0:
-            out.append((best, first, end))
-        return out
+        return [(high - low, start, end) for low, high, start, end in held]
 
 
 def corpus_counts(texts: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:

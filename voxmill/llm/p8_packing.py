@@ -32,8 +32,8 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
         return 0
     s = np.asarray(sizes, np.int64)
     best = -(-int(s.sum()) // capacity)
-    half = np.unique(s[s * 2 <= capacity])
-    for t in half[np.linspace(0, len(half) - 1, min(64, len(half))).astype(int)] if len(half) else []:
+    half = np.unique(np.append(s[s * 2 <= capacity], capacity // 2))
+    for t in half[np.linspace(0, len(half) - 1, min(64, len(half))).astype(int)]:
         # more than capacity - t counts as a whole container, less than t as nothing
         big, mid = s > capacity - t, (s >= t) & (s <= capacity - t)
         best = max(best, int(big.sum()) + -(-int(s[mid].sum()) // capacity))
@@ -131,7 +131,7 @@ def _report(packed: DataFrame) -> DataFrame:
         cap = int(g["capacity"].iloc[0])
         s, c = g["n_tokens"].to_numpy(), g["c"].to_numpy()
         best = -(-int((s * c).sum()) // cap)
-        for t in np.unique(s[s * 2 <= cap])[:: max(1, len(s) // 64)]:
+        for t in [*np.unique(s[s * 2 <= cap])[:: max(1, len(s) // 64)], cap // 2]:
             big, mid = s > cap - t, (s >= t) & (s <= cap - t)
             best = max(best, int(c[big].sum()) + -(-int((s * c)[mid].sum()) // cap))
         return pd.DataFrame({"spec_id": [g["spec_id"].iloc[0]], "lower_bound": [best]})
