@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.text import blank_to_null, filled, ustrip
@@ -39,10 +39,11 @@ def metadata() -> list[Column]:
 def last_write(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The row of each key that comes last in the order. Null keys form one group.
 
-    Keys are spread by hash and each group is ranked by a sort that spills, so a hot key is no more than a long sort.
+    It is an aggregate that is combined before the shuffle, so a hot key sends one row per task. Nulls come
+    first in the order; of rows equal in it any one may stay.
     """
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*[o.desc() for o in order]))
-    return df.withColumn("_r", rank).where("_r = 1").drop("_r")
+    last = F.max_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(F.col(key).alias("_key")).agg(last.alias("_last")).select("_last.*")
 
 
 def points(raw: DataFrame, mode: str = "case_id", include_subject: bool = False) -> DataFrame:

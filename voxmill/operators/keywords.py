@@ -15,6 +15,8 @@ from voxmill.providers import Embedder, HashingEmbedder
 
 KEYWORDS = "cluster int, keywords string, cosine_similarities double"
 SEPARATOR = "\n\n"
+#: Parts of a cluster that are cut on their own first.
+SALTS = 64
 
 
 def cluster_key():
@@ -25,13 +27,16 @@ def cluster_key():
 def blobs(docs: DataFrame, most: int, separator: str = SEPARATOR, id_col: str = "id", text_col: str = "document") -> DataFrame:
     """(cluster, blob, n_documents): the non-blank texts of each cluster, in order of id, cut at `most` characters.
 
-    Before texts are gathered they are cut where the cluster already has `most` characters, by a running
-    sum, so a cluster of any size gathers little more than `most`.
+    Before texts are gathered, those are left out before which the cluster already has `most` characters, by
+    running sums: first within SALTS parts of each cluster, in parallel, then over the few rows that are
+    left. So a cluster of any size is no hot group and gathers little more than `most`.
     """
     kept = docs.where(filled(text_col)).select("cluster", F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    w = Window.partitionBy("cluster").orderBy("id")
-    sized = kept.withColumn("before", F.coalesce(F.sum(F.length("t") + len(separator)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    near = sized.where(F.col("before") < most).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("id", F.substring("t", 1, most).alias("t")))).alias("r"))
+    near = kept.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for part in (("cluster", "salt"), ("cluster",)):
+        w = Window.partitionBy(*part).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        near = near.withColumn("before", F.coalesce(F.sum(F.length("t") + len(separator)).over(w), F.lit(0))).where(F.col("before") < most)
+    near = near.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("id", F.substring("t", 1, most).alias("t")))).alias("r"))
     counts = kept.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_documents"))
     joined = F.substring(F.array_join(F.transform("r", lambda x: x["t"]), separator), 1, most)
     return near.select("cluster", joined.alias("blob")).join(counts, "cluster")

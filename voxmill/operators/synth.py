@@ -58,7 +58,7 @@ def feedback(spark: SparkSession, n_branches: int = 5, rows_min: int = 5, rows_m
     r = r.withColumn("submission_type", F.when(F.col("row_index") * 2 <= F.col("n") + 1, TYPES[0]).otherwise(TYPES[1])).withColumn("target", target_lengths(min_chars, max_chars, seed))
     before = F.coalesce(F.sum("n").over(Window.orderBy("branch_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = b.withColumn("first", before).select("branch_index", "first")  # a row per branch
-    r = r.join(F.broadcast(firsts.limit(1_000_000)), "branch_index").withColumn("seq", F.col("first") + F.col("row_index"))
+    r = r.join(firsts, "branch_index").withColumn("seq", F.col("first") + F.col("row_index"))
     created = F.timestamp_seconds(F.unix_timestamp(F.lit(f"{year}-01-01"), "yyyy-MM-dd") + F.floor(u("t") * 365 * 86400))
     iso = lambda t: F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+07:00"))
     product = pick(PRODUCTS, s, F.lit("p"), *key)

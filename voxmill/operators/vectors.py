@@ -21,8 +21,8 @@ def checked(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
         raise ValueError(f"no column {vec_col}")
     lengths = df.agg(F.count_if(F.col(vec_col).isNull()).alias("nulls"), F.min(F.size(vec_col)).alias("lo"), F.max(F.size(vec_col)).alias("hi"))
     ok = F.assert_true((F.col("nulls") == 0) & (F.coalesce(F.col("lo"), F.lit(0)) == F.coalesce(F.col("hi"), F.lit(0))), F.lit("vectors are missing or of several lengths"))
-    gate = lengths.select(ok.alias("_ok"))
-    return df.crossJoin(F.broadcast(gate)).drop("_ok") if df.columns else df
+    gate = lengths.where(ok.isNull()).select(F.lit(1).alias("_ok"))  # a condition is evaluated, an unused column would not be
+    return df.crossJoin(F.broadcast(gate)).drop("_ok")
 
 
 def shape(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
