@@ -69,7 +69,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pieces(sizes: DataFrame, id_col: str, capacities: DataFrame) -> DataFrame:
     """(spec_id, capacity, id, piece_no, n_pieces, n_tokens): every text, cut where it exceeds the capacity."""
     caps = capacities.where("capacity_tokens > 0").select("spec_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))
-    both = sizes.select(F.col(id_col).alias("id"), F.coalesce("n_tokens", F.lit(0)).alias("size")).join(F.broadcast(caps.limit(1000)))  # a container list, not data
+    both = sizes.select(F.col(id_col).alias("id"), F.coalesce("n_tokens", F.lit(0)).alias("size")).crossJoin(caps)  # each text meets each specification: the result has that size
     n = F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1))
     cut = both.withColumn("n_pieces", n.cast("int")).withColumn("piece_no", F.explode(F.expr("sequence(1, n_pieces)")))
     return cut.select("spec_id", "capacity", "id", "piece_no", "n_pieces", F.least("capacity", F.expr("size - capacity * (piece_no - 1)")).alias("n_tokens"))

@@ -109,7 +109,14 @@ def mix(sized: DataFrame, id_col: str, targets: DataFrame, seed: int = SEED) ->
     # A group is a histogram: at most as many rows as there are token lengths.
     wanted = b.select("mix_id", "source", "key", "target_tokens", "max_repeats").join(histogram, "key").groupBy("mix_id", "source").applyInPandas(run, "mix_id bigint, source string, key string, n_tokens bigint, c bigint, copies bigint").where("copies > 0")
     wanted = cut_lineage(wanted)
-    ranked = keyed.join(wanted, ["key", "n_tokens"]).withColumn("r", F.row_number().over(Window.partitionBy("mix_id", "source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), "mix_id", "id"), "id")))
+    # The seeded rank of a document within its length: by the high bits of its hash first, whose counts are
+    # summed up, then within equal high bits, so that one length may hold any share of the documents.
+    group = ["mix_id", "source", "n_tokens"]
+    hashed = keyed.join(wanted, ["key", "n_tokens"]).withColumn("h", F.xxhash64(F.lit(seed), "mix_id", "id")).withColumn("high", F.shiftrightunsigned("h", 54))
+    sizes = hashed.groupBy(*group, "high").agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*group).orderBy("high").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*group, "high").orderBy("h", "id"))
+    ranked = hashed.join(sizes.select(*group, "high", before.alias("before")), [*group, "high"]).withColumn("r", F.col("before") + inside)
     copies = F.floor(F.col("copies") / F.col("c")) + F.when(F.col("r") <= F.col("copies") % F.col("c"), 1).otherwise(0)
     chosen = ranked.withColumn("copies", copies.cast("int")).where("copies > 0").select("mix_id", "source", F.col("id").alias(id_col), "n_tokens", "copies")
     got = wanted.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"))
