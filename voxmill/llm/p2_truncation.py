@@ -42,8 +42,9 @@ END_CHANCE, END_CHANCE_NEAR_LIMIT, END_CHANCE_AT_LIMIT = 0.02, 0.06, 0.60
 NEAR = 15
 #: Strength of the shorter context's estimate, in counts.
 BACKOFF = 2.0
-#: A length is a field limit if so many texts of the source have it, and so many times the mean of the lengths just below.
-LIMIT_COUNT, LIMIT_PEAK, LIMIT_SPAN = 5, 8.0, 30
+#: A length is a field limit if so many texts of the source have it, so many times the mean of the lengths just below,
+#: and so many standard deviations (of a Poisson count) more than it.
+LIMIT_COUNT, LIMIT_PEAK, LIMIT_SPAN, LIMIT_SIGMA = 5, 4.0, 30, 6.0
 #: "Rp 1." may be a finished sentence or an amount cut inside its groups of three.
 AMOUNT_CUT = re.compile(r"(?i:rp|idr|usd|eur|[€$£]) ?\d{1,3}[.]$")
 ESCAPES = frozenset("&\\%<")
@@ -185,7 +186,7 @@ def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) ->
     judged = cut_lineage(judged)
     by_length = judged.groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("c"))
     below = Window.partitionBy("source").orderBy("n_chars").rangeBetween(-LIMIT_SPAN, -1)
-    limits = by_length.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)) / LIMIT_SPAN).where(f"c >= {LIMIT_COUNT} AND c >= {LIMIT_PEAK} * below")
+    limits = by_length.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)) / LIMIT_SPAN).where(f"c >= {LIMIT_COUNT} AND c >= {LIMIT_PEAK} * below AND c >= below + {LIMIT_SIGMA} * sqrt(below + 1)")
     # one row per length at or a little below a limit, with the threshold there: at most (NEAR + 1) x limits
     at_limit = limits.select(F.col("source").alias("s"), F.explode(F.sequence(F.col("n_chars") - NEAR, "n_chars")).alias("nc"), "n_chars").groupBy("s", "nc").agg(F.max(F.when(F.col("nc") == F.col("n_chars"), END_CHANCE_AT_LIMIT).otherwise(END_CHANCE_NEAR_LIMIT)).alias("least"))
 
