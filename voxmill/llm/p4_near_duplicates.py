@@ -104,7 +104,8 @@ def _ball_keys() -> Column:
 
 def similar_pairs(signatures: DataFrame, src: DataFrame) -> DataFrame:
     """(u, v, similarity): set ids of verified pairs of classes, u < v."""
-    classes = signatures.select("set_id", "symbols", "s0", "s1").dropDuplicates(["set_id"])
+    # Symbols and sketch follow from the set. Written out, so that both sides below have one plan to the end.
+    classes = cut_lineage(signatures.select("set_id", "symbols", "s0", "s1").distinct())
     # A class goes through the join by a short number; the set id decides later, so equal numbers do no harm.
     # Both sides are one plan, so their keys are shuffled once.
     keyed = classes.select(F.xxhash64("set_id").alias("c"), "s0", "s1", F.explode(_ball_keys()).alias("key"))
