@@ -43,6 +43,22 @@ def test_hdbscan_sample_and_rest(spark):
         assert len({part[i] for i in range(a, a + 60)} - {-1}) == 1
 
 
+def test_hdbscan_keeps_small_topics_beside_many_rows(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(c, 0.3, (n, 2)) for c, n in (((0, 0), 700), ((9, 0), 700), ((0, 9), 15))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    full = {q.id: q.cluster for q in density.hdbscan(df, "id", "v").collect()}
+    boxes = {q.id: q.cluster for q in density.hdbscan(df, "id", "v", fit_rows=100).collect()}
+    small = {boxes[i] for i in range(1400, 1415)} - {-1}
+    assert boxes == full and len(small) == 1 and not small & {boxes[i] for i in range(1400)}
+
+
+@pytest.mark.parametrize("x", [np.random.default_rng(1).normal(size=(900, 5)), np.round(np.random.default_rng(2).normal(size=(700, 3)), 1), np.repeat(np.arange(40.0).reshape(20, 2), 30, 0)])
+def test_boxed_tree_is_a_minimum_spanning_tree(x):
+    e = density.boxed_tree(x)
+    assert len(e) == len(x) - 1 and np.allclose(np.sort(e[:, 2]), np.sort(density.spanning_tree(x)[:, 2]))
+
+
 def test_graph_and_metrics():
     x = np.random.default_rng(0).normal(size=(80, 16))
     i, j, w = projection.fuzzy_graph(x, 10)

@@ -1,9 +1,9 @@
 """Hierarchical density clustering (Campello, Moulavi, Sander 2013) over a minimum spanning tree.
 
 With one sample per core distance the mutual reachability is the plain distance, so the hierarchy is that of
-the Euclidean minimum spanning tree. A group of at most FIT_ROWS rows is clustered in one task; larger inputs
-are fitted on the FIT_ROWS rows of lowest hash, and every other row goes to the cluster of its nearest fitted
-row if it is no farther from it than that cluster's longest tree edge.
+the Euclidean minimum spanning tree. Every row of a group takes part, in one task a group: up to FIT_ROWS rows
+the tree grows row by row, beyond it is built by Boruvka rounds that search boxes of near rows; both give a
+minimum spanning tree of all rows.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows up to which the tree grows row by row, in quadratic time.
 FIT_ROWS = 5_000
-#: Fitted rows of all groups together that are sent to every task.
-MOST_FITTED = 100_000
+#: Rows of a box, and near rows of each row found ahead of the rounds.
+BOX_ROWS, NEAR = 64, 8
 
 
 def spanning_tree(x: np.ndarray) -> np.ndarray:
@@ -36,7 +37,113 @@ def spanning_tree(x: np.ndarray) -> np.ndarray:
     return e[np.lexsort((e[:, 1], e[:, 0], e[:, 2]))]
 
 
-def cluster(x: np.ndarray, min_size: int, allow_single: bool = False) -> np.ndarray:
+def boxed_tree(x: np.ndarray) -> np.ndarray:
+    """The edges of spanning_tree, by Boruvka rounds over boxes; of equal trees any."""
+    n = len(x)
+    if n < 2:
+        return np.empty((0, 3))
+    order, starts = _boxes(x)
+    x = x[order]
+    ends = np.r_[starts[1:], n]
+    lo, hi = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+    box = np.repeat(np.arange(len(starts)), ends - starts)
+    rows_of = lambda boxes: np.concatenate([np.arange(starts[b], ends[b]) for b in boxes])
+
+    def gaps(rows: np.ndarray) -> np.ndarray:
+        """Least distance of the rows' own box to every box."""
+        a, b = x[rows].min(0), x[rows].max(0)
+        return np.sqrt((np.maximum(np.maximum(lo - b, a - hi), 0) ** 2).sum(1))
+
+    def apart(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(rows), len(others)))
+        for t in range(x.shape[1]):
+            d += (x[rows, t][:, None] - x[others, t][None, :]) ** 2
+        return np.sqrt(d)
+
+    k = min(NEAR, n - 1)
+    near, dist = np.zeros((n, k), int), np.full((n, k), np.inf)
+    for b in range(len(starts)):
+        rows = np.arange(starts[b], ends[b])
+        gap = gaps(rows)
+        todo, step = np.argsort(gap, kind="stable"), 8
+        while len(todo) and gap[todo[0]] <= dist[rows, -1].max():
+            others = rows_of(todo[:step])
+            d = apart(rows, others)
+            d[rows[:, None] == others[None, :]] = np.inf
+            d, o = np.c_[dist[rows], d], np.c_[near[rows], np.broadcast_to(others, d.shape)]
+            first = np.argpartition(d, k - 1, axis=1)[:, :k]
+            d, o = np.take_along_axis(d, first, 1), np.take_along_axis(o, first, 1)
+            up = np.argsort(d, axis=1, kind="stable")
+            dist[rows], near[rows] = np.take_along_axis(d, up, 1), np.take_along_axis(o, up, 1)
+            todo, step = todo[step:], 32
+
+    part, m, out = np.arange(n), n, []
+    while m > 1:
+        other = part[near] != part[:, None]
+        at, known = other.argmax(1), other.any(1)
+        gives, to = np.where(known, dist[np.arange(n), at], np.inf), near[np.arange(n), at]
+        best = np.full(m, np.inf)
+        np.minimum.at(best, part, gives)
+        # A row whose near rows are all in its part can still give the part's shortest edge.
+        asks = np.flatnonzero(~known & (dist[:, -1] < best[part]))
+        one = np.where(np.minimum.reduceat(part, starts) == np.maximum.reduceat(part, starts), part[starts], -1)
+        for rows in np.split(asks, np.flatnonzero(np.diff(box[asks])) + 1) if len(asks) else ():
+            gap = gaps(rows)
+            own = part[rows]
+            use = gap < best[own].max()
+            if (own == own[0]).all():
+                use &= one != own[0]
+            todo = np.flatnonzero(use)
+            todo, step = todo[np.argsort(gap[todo], kind="stable")], 4
+            while len(todo) and len(rows := rows[best[part[rows]] > gap[todo[0]]]):
+                others = rows_of(todo[:step])
+                d = apart(rows, others)
+                d[part[rows][:, None] == part[others][None, :]] = np.inf
+                first = d.argmin(1)
+                d = d[np.arange(len(rows)), first]
+                less = d < gives[rows]
+                gives[rows[less]], to[rows[less]] = d[less], others[first[less]]
+                np.minimum.at(best, part[rows], d)
+                todo, step = todo[step:], 32
+        a, b = order, order[to]
+        rank = np.lexsort((np.maximum(a, b), np.minimum(a, b), gives, part))
+        rank = rank[np.r_[True, np.diff(part[rank]) > 0]]  # the shortest edge of each part
+        rank = rank[np.argsort(gives[rank], kind="stable")]
+        up = list(range(m))
+        for r, c1, c2 in zip(rank.tolist(), part[rank].tolist(), part[to[rank]].tolist(), strict=True):
+            while up[c1] != c1:
+                up[c1] = up[up[c1]]
+                c1 = up[c1]
+            while up[c2] != c2:
+                up[c2] = up[up[c2]]
+                c2 = up[c2]
+            if c1 != c2:
+                up[c1] = c2
+                out.append((min(a[r], b[r]), max(a[r], b[r]), gives[r]))
+        root = np.array(up)
+        while (root[root] != root).any():
+            root = root[root]
+        part = np.unique(root[part], return_inverse=True)[1]
+        m = int(part.max()) + 1
+    e = np.array(out, float)
+    return e[np.lexsort((e[:, 1], e[:, 0], e[:, 2]))]
+
+
+def _boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows, first row of each box): halves along the widest side down to BOX_ROWS rows."""
+    todo, parts = [np.arange(len(x))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BOX_ROWS:
+            parts.append(rows)
+            continue
+        side, half = int(np.ptp(x[rows], axis=0).argmax()), len(rows) // 2
+        cut = np.argpartition(x[rows, side], half)
+        todo += [rows[cut[half:]], rows[cut[:half]]]
+    return np.concatenate(parts), np.cumsum([0, *(len(r) for r in parts[:-1])])
+
+
+def cluster(x: np.ndarray, min_size: int, allow_single: bool = False, dense_rows: int = FIT_ROWS) -> np.ndarray:
     """Label of each row, -1 for noise; clusters are numbered by size, then by their first row."""
     n = len(x)
     if n == 0:
@@ -51,7 +158,7 @@ def cluster(x: np.ndarray, min_size: int, allow_single: bool = False) -> np.ndar
         return i
 
     node = n
-    for a, b, d in spanning_tree(x):
+    for a, b, d in (spanning_tree(x) if n <= dense_rows else boxed_tree(x)):
         a, b = top(int(a)), top(int(b))
         up[a] = up[b] = node
         size[node], kids[node], height[node] = size[a] + size[b], (a, b), d
@@ -92,7 +199,10 @@ def cluster(x: np.ndarray, min_size: int, allow_single: bool = False) -> np.ndar
                 else:
                     members[c].extend((j, lam) for j in leaves(k))
     # Excess of mass: a cluster wins over its descendants if it is the more stable.
-    stable = {c: sum(lam - birth[c] for _, lam in members[c]) + sum((birth[k] - birth[c]) * size_of(members, children, k) for k in children[c]) for c in members}
+    whole = {}
+    for c in sorted(members, reverse=True):
+        whole[c] = len(members[c]) + sum(whole[k] for k in children[c])
+    stable = {c: sum(lam - birth[c] for _, lam in members[c]) + sum((birth[k] - birth[c]) * whole[k] for k in children[c]) for c in members}
     won: dict[int, bool] = {}
     for c in sorted(members, reverse=True):
         inner = sum(stable[k] for k in children[c])
@@ -116,58 +226,19 @@ def cluster(x: np.ndarray, min_size: int, allow_single: bool = False) -> np.ndar
     return label
 
 
-def size_of(members: dict, children: dict, c: int) -> int:
-    total, todo = 0, [c]
-    while todo:
-        k = todo.pop()
-        total += len(members[k])
-        todo += children[k]
-    return total
-
-
 def hdbscan(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 10, group: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(group, id, cluster) of every row with a vector, within each group or over all rows (group 0)."""
+    """(group, id, cluster) of every row with a vector, within each group or over all rows (group 0).
+
+    `fit_rows` only says from where on boxes are searched; all rows are clustered at any size.
+    """
     g = F.col(group) if group else F.lit(0)
     src = df.where(F.col(vec_col).isNotNull()).select(g.alias("g"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    n = src.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    share = 1.0 if n <= fit_rows else fit_rows / n
-    fitted = src if share >= 1 else src.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        pdf["cluster"] = cluster(np.array(pdf["v"].tolist(), float), min_cluster_size)
-        return pdf[["g", "id", "v", "cluster"]]
-
-    done = fitted.groupBy("g").applyInPandas(run, f"g {kinds['g']}, id {kinds['id']}, v array<double>, cluster int")
-    if share >= 1:
-        return done.select(F.col("g").alias(group or "group"), F.col("id").alias(id_col), "cluster")
-    fit: dict = {}
-    for r in done.select("g", "v", "cluster").limit(MOST_FITTED + 1).collect():
-        fit.setdefault(r["g"], ([], []))
-        fit[r["g"]][0].append(r["v"])
-        fit[r["g"]][1].append(r["cluster"])
-    if sum(len(v[1]) for v in fit.values()) > MOST_FITTED:
-        raise ValueError(f"more than {MOST_FITTED} fitted rows in all groups; lower fit_rows")
-    ready = {}
-    for g_, (xs, labs) in fit.items():
-        x, lab = np.array(xs, float), np.array(labs)
-        reach = np.array([spanning_tree(x[lab == k])[:, 2].max(initial=0.0) for k in range(lab.max(initial=-1) + 1)] + [-1.0])
-        ready[g_] = (x, lab, reach)
-    shared = df.sparkSession.sparkContext.broadcast(ready)
-
-    def rest(it):
-        for pdf in it:
-            for g_, part in pdf.groupby("g", dropna=False):
-                if g_ not in shared.value:  # no row of the group was fitted
-                    yield pd.DataFrame({"g": part["g"], "id": part["id"], "cluster": np.full(len(part), -1, "int32")})
-                    continue
-                x, lab, reach = shared.value[g_]
-                v = np.array(part["v"].tolist(), float)
-                d = np.sqrt(np.maximum((v**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * v @ x.T, 0))
-                near = d.argmin(1)
-                got = np.where(d[np.arange(len(v)), near] <= reach[lab[near]], lab[near], -1)
-                yield pd.DataFrame({"g": part["g"], "id": part["id"], "cluster": got.astype("int32")})
-
-    joined = src.mapInPandas(rest, f"g {kinds['g']}, id {kinds['id']}, cluster int")
-    return joined.select(F.col("g").alias(group or "group"), F.col("id").alias(id_col), "cluster")
+        pdf["cluster"] = cluster(np.stack(pdf["v"].to_numpy()).astype(float), min_cluster_size, dense_rows=fit_rows)
+        return pdf[["g", "id", "cluster"]]
+
+    done = src.groupBy("g").applyInPandas(run, f"g {kinds['g']}, id {kinds['id']}, cluster int")
+    return done.select(F.col("g").alias(group or "group"), F.col("id").alias(id_col), "cluster")

@@ -425,7 +425,7 @@ def umap_sweep(spark: SparkSession, d: str) -> DataFrame:
 def hdbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     """Cluster of every usable point after projection to five dimensions."""
     flat = cut_lineage(projection.project(_points(spark, d), "id", "embedding", 15, 5, fit_rows=2_000))
-    return density.hdbscan(flat, "id", "point", 10, fit_rows=2_000).select("id", "cluster")
+    return density.hdbscan(flat, "id", "point", 10).select("id", "cluster")
 
 
 @query()
