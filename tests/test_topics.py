@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from voxmill.operators import density, keywords, projection, report, synth, vectors
 from voxmill.operators.components import connected_components
-from voxmill.plans import pipeline
+from voxmill.plans import pipeline, queries
 from voxmill.config import GeneratorConfig, PipelineConfig, check_range, find_settings, secret
 
 
@@ -75,6 +75,27 @@ def test_sweep_and_choice(spark):
     assert projection.choose(e) in (3, 4, 5) and projection.choose(e, override=9) == 9
 
 
+def test_neighbours_are_exact():
+    u = projection.unit(np.concatenate([np.random.default_rng(0).normal(size=(1500, 16)), np.ones((40, 16))]))
+    got, dist = projection.nearest(u, u.astype("float32"), 700, 1540, 12)
+    d = np.maximum(1 - u[700:] @ u.T, 0)
+    d[np.arange(840), np.arange(700, 1540)] = np.inf
+    assert np.allclose(np.sort(d, axis=1)[:, :12], dist) and np.allclose(np.take_along_axis(d, got, 1), dist)
+
+
+def test_sweep_and_projection_take_every_row(spark, data):
+    x = np.random.default_rng(1).normal(size=(5_300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9_999, None)], "id int, embedding array<double>")
+    m = projection.sweep(df, "id", "embedding", 3, 3).first()
+    whole = projection.layout(x, 3, 2)
+    want = projection.metrics(whole, 3)
+    assert (m.n_clusters, m.n_noise_points) == (want["n_clusters"], want["n_noise_points"]) and np.isclose(m.spread_x, want["spread_x"])
+    got = {r.id: r.point for r in projection.project(df, "id", "embedding", 3, 2).collect()}
+    assert len(got) == 5_300 and np.allclose([got[i] for i in range(5_300)], whole)
+    swept = queries.QUERIES["umap_sweep"](spark, data).select("n_neighbors").collect()
+    assert sorted(r.n_neighbors for r in swept) == list(range(15, 26))
+
+
 def test_knn_against_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(60, 8))

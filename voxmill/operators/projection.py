@@ -1,7 +1,8 @@
 """Low-dimensional layouts after McInnes, Healy, Melville 2018, their metrics, the sweep and the choice.
 
-A layout is fitted on at most FIT_ROWS rows in one task per candidate, the candidates side by side; further
-rows are placed at the weighted mean of their nearest fitted rows.
+The nearest neighbours of every row are found exactly, block by block over the tasks; a layout of all rows then
+runs in one task per candidate, the candidates side by side. The vectors travel to the tasks as one broadcast
+table of 8 bytes a number, which with the neighbours bounds the rows by the memory of a task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from voxmill.operators.density import cluster
 
-FIT_ROWS = 5_000
+#: Rows of a task's block of the neighbour search, rows it meets at once, neighbours held beyond those asked for.
+BLOCK_ROWS, MEET_ROWS, SPARE = 512, 16_384, 8
+#: Edges of a layout moved at once in memory.
+EDGE_ROWS = 250_000
 METRICS = "n_neighbors int, n_clusters int, n_noise_points int, n_tiny_islands int, largest_cluster_share double, spread_x double, spread_y double, bbox_area double"
 
 
@@ -21,18 +25,58 @@ def clamp_neighbors(n: int, rows: int) -> int:
     return max(2, min(n, max(2, rows - 1)))
 
 
-def fuzzy_graph(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (i, j, weight), i < j, of the fuzzy union of the cosine neighbourhoods; weights in (0, 1]."""
-    n = len(x)
+def unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1)
-    u = x / np.where(norm > 0, norm, 1)[:, None]
+    return x / np.where(norm > 0, norm, 1)[:, None]
+
+
+def nearest(u: np.ndarray, low: np.ndarray, a: int, b: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, cosine distances) of the k nearest other rows of rows a to b of unit vectors u, nearest first, ties to the earlier row.
+
+    `low` holds u in single precision, by which rows are passed over; what is kept is measured in u.
+    """
+    n, want = len(u), min(k + SPARE, len(u) - 1)
+    who = np.arange(a, b)
+    r = c = np.empty(0, int)
+    v = np.empty(0, "float32")
+    least = np.full(b - a, -np.inf, "float32")
+    for at in range(0, n, MEET_ROWS):
+        s = low[a:b] @ low[at : at + MEET_ROWS].T
+        own = (who >= at) & (who < at + s.shape[1])
+        s[np.flatnonzero(own), who[own] - at] = -np.inf
+        if at == 0 and s.shape[1] > want:  # the least that can still be among the nearest
+            least = np.partition(s, s.shape[1] - want, axis=1)[:, s.shape[1] - want] - np.float32(1e-5)
+        new = np.flatnonzero(s >= least[:, None])
+        i, j = new // s.shape[1], new % s.shape[1]
+        r, c, v = np.r_[r, i], np.r_[c, j + at], np.r_[v, s[i, j]]
+        rank = np.lexsort((c, -v, r))
+        r, c, v = r[rank], c[rank], v[rank]
+        place = np.arange(len(r)) - np.searchsorted(r, np.arange(b - a))[r]
+        full = place == want - 1
+        least[r[full]] = v[full] - np.float32(1e-5)
+        keep = v >= least[r]  # near ties stay until they are measured
+        keep &= np.isfinite(v)
+        r, c, v = r[keep], c[keep], v[keep]
+    d = np.concatenate([np.maximum(1 - np.einsum("ij,ij->i", u[a + r[e : e + EDGE_ROWS]], u[c[e : e + EDGE_ROWS]]), 0) for e in range(0, len(r), EDGE_ROWS)] or [np.empty(0)])
+    rank = np.lexsort((c, d, r))
+    r, c, d = r[rank], c[rank], d[rank]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(b - a))[r] < k
+    return c[keep].reshape(b - a, -1), d[keep].reshape(b - a, -1)
+
+
+def fuzzy_graph(x: np.ndarray, k: int, near: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (i, j, weight), i < j, of the fuzzy union of the cosine neighbourhoods; weights in (0, 1].
+
+    `near` has the neighbours of all rows and their distances, k of each or more; without it they are searched here.
+    """
+    n = len(x)
     k = min(k, n - 1)
-    idx, dist = np.empty((n, k), int), np.empty((n, k))
-    for a in range(0, n, 1024):
-        d = np.maximum(1 - u[a : a + 1024] @ u.T, 0)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        idx[a : a + 1024] = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dist[a : a + 1024] = np.take_along_axis(d, idx[a : a + 1024], 1)
+    if near is None:
+        u = unit(x)
+        low = u.astype("float32")
+        found = [nearest(u, low, a, min(a + BLOCK_ROWS, n), k) for a in range(0, n, BLOCK_ROWS)]
+        near = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    idx, dist = near[0][:, :k].astype(int), near[1][:, :k]
     rho = np.where(dist > 0, dist, np.inf).min(1)
     rho = np.where(np.isfinite(rho), rho, 0)
     lo, hi, target = np.zeros(n), np.full(n, 1e3), np.log2(max(k, 2))
@@ -49,37 +93,47 @@ def fuzzy_graph(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return u_key // n, u_key % n, np.clip(1 - none, 1e-12, 1.0)
 
 
-def layout(x: np.ndarray, n_neighbors: int, dims: int, seed: int = 42, epochs: int = 200) -> np.ndarray:
+def layout(x: np.ndarray, n_neighbors: int, dims: int, seed: int = 42, epochs: int = 200, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Coordinates of each row: spectral-like start, then attraction along edges and sampled repulsion."""
     n = len(x)
     if n <= dims + 1:
         return np.zeros((n, dims)) + np.arange(n)[:, None]
     rng = np.random.default_rng(seed)
-    i, j, w = fuzzy_graph(x, clamp_neighbors(n_neighbors, n))
-    centred = x - x.mean(0)
-    _, _, vt = np.linalg.svd(centred, full_matrices=False)
-    y = centred @ vt[:dims].T
+    i, j, w = fuzzy_graph(x, clamp_neighbors(n_neighbors, n), near)
+    mean = x.mean(0)
+    _, axes = np.linalg.eigh(sum((x[e : e + EDGE_ROWS] - mean).T @ (x[e : e + EDGE_ROWS] - mean) for e in range(0, n, EDGE_ROWS)))
+    axes = axes[:, ::-1][:, :dims]
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)  # one sign, whatever the library
+    y = (x - mean) @ axes
     if y.shape[1] < dims:
         y = np.c_[y, np.zeros((n, dims - y.shape[1]))]
-    y = 10 * y / max(np.abs(y).max(), 1e-12) + rng.normal(0, 1e-4, (n, dims))
+    y = np.ascontiguousarray((10 * y / max(np.abs(y).max(), 1e-12) + rng.normal(0, 1e-4, (n, dims))).T)  # a row per dimension
     a, b = 1.577, 0.895  # the curve for a least distance of 0.1
     share = w / w.max()
     for e in range(epochs):
         step = 1 - e / epochs
-        use = rng.random(len(w)) < share
-        p, q = i[use], j[use]
-        diff = y[p] - y[q]
-        d2 = (diff**2).sum(1)
-        pull = np.where(d2 > 0, -2 * a * b * np.maximum(d2, 1e-12) ** (b - 1) / (1 + a * d2**b), 0)
-        move = np.clip(pull[:, None] * diff, -4, 4) * step
-        np.add.at(y, p, move)
-        np.add.at(y, q, -move)
-        far = rng.integers(0, n, (len(p), 5))
-        diff = y[p][:, None, :] - y[far]
-        d2 = (diff**2).sum(2)
-        push = 2 * b / ((0.001 + d2) * (1 + a * d2**b))
-        np.add.at(y, p, (np.clip(push[:, :, None] * diff, -4, 4) * step).sum(1))
-    return y
+        used = np.flatnonzero(rng.random(len(w)) < share)
+        moved = np.zeros_like(y)
+        for at in range(0, len(used), EDGE_ROWS):
+            p, q = i[used[at : at + EDGE_ROWS]], j[used[at : at + EDGE_ROWS]]
+            diff = [t[p] - t[q] for t in y]
+            d2 = sum(f * f for f in diff)
+            pull = np.where(d2 > 0, -2 * a * b * np.maximum(d2, 1e-12) ** (b - 1) / (1 + a * d2**b), 0)
+            for t, f in enumerate(diff):
+                move = np.clip(pull * f, -4, 4) * step
+                moved[t] += np.bincount(p, move, n) - np.bincount(q, move, n)
+        y += moved
+        moved[:] = 0
+        for at in range(0, len(used), EDGE_ROWS):
+            p = i[used[at : at + EDGE_ROWS]]
+            far = rng.integers(0, n, (5, len(p)))
+            diff = [t[p] - t[far] for t in y]
+            d2 = sum(f * f for f in diff)
+            push = 2 * b / ((0.001 + d2) * (1 + a * d2**b))
+            for t, f in enumerate(diff):
+                moved[t] += np.bincount(p, (np.clip(push * f, -4, 4) * step).sum(0), n)
+        y += moved
+    return np.ascontiguousarray(y.T)
 
 
 def metrics(xy: np.ndarray, n_neighbors: int) -> dict:
@@ -95,64 +149,78 @@ def metrics(xy: np.ndarray, n_neighbors: int) -> dict:
     }
 
 
-def _sample(df: DataFrame, id_col: str, vec_col: str, fit_rows: int) -> DataFrame:
-    src = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return src.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+def _rows(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of all rows with a vector, by id."""
+    got = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).toArrow()
+    lists = got.column("v").combine_chunks()
+    x = np.asarray(lists.flatten()).reshape(got.num_rows, -1) if got.num_rows else np.empty((0, 0))
+    ids = got.column("id").to_pandas().to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
 
 
-def candidates(spark: SparkSession, low: int, high: int) -> DataFrame:
-    """(n_neighbors) for every number of the range; bounds may be reversed, 2 is the least."""
-    low, high = max(2, min(low, high)), max(2, low, high)
-    return spark.range(low, high + 1).select(F.col("id").cast("int").alias("n_neighbors"))
+def _neighbours(spark: SparkSession, shared, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances) of the k nearest of all rows; blocks of rows meet all rows in the tasks."""
+    k = min(k, n - 1)
+    blocks = -(-n // BLOCK_ROWS)
+    held: dict = {}
 
+    def run(it):
+        for pdf in it:
+            for a in pdf["id"]:
+                if not held:
+                    held["u"] = unit(shared.value)
+                    held["low"] = held["u"].astype("float32")
+                a = int(a)
+                idx, dist = nearest(held["u"], held["low"], a, min(a + BLOCK_ROWS, n), k)
+                yield pd.DataFrame({"a": [a], "near": [idx.astype("<i4").tobytes()], "dist": [dist.astype("<f8").tobytes()]})
 
-def project(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int, dims: int, seed: int = 42, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(id, point): every row with a vector in `dims` dimensions."""
-    fitted = _sample(df, id_col, vec_col, fit_rows)
-    kind = fitted.schema["id"].dataType.simpleString()
+    tasks = min(blocks, max(4 * spark.sparkContext.defaultParallelism, blocks // 64))
+    got = spark.range(0, n, BLOCK_ROWS, tasks).mapInPandas(run, "a bigint, near binary, dist binary").toArrow().sort_by("a")
+    read = lambda name, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in got.column(name)]).reshape(n, k)
+    return read("near", "<i4"), read("dist", "<f8")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        y = layout(np.array(pdf["v"].tolist(), float), n_neighbors, dims, seed)
-        return pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "point": list(y)})
 
-    placed = fitted.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"id {kind}, v array<double>, point array<double>")
-    if df.count() <= fit_rows:
-        return placed.select(F.col("id").alias(id_col), "point")
-    core = placed.select("v", "point").collect()  # at most fit_rows
-    x, y = np.array([r["v"] for r in core], float), np.array([r["point"] for r in core], float)
-    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-    shared = df.sparkSession.sparkContext.broadcast((x, y))
+def candidates(spark: SparkSession, low: int, high: int) -> DataFrame:
+    """(n_neighbors) for every number of the range, a partition each; bounds may be reversed, 2 is the least."""
+    low, high = max(2, min(low, high)), max(2, low, high)
+    return spark.range(low, high + 1, 1, high + 1 - low).select(F.col("id").cast("int").alias("n_neighbors"))
 
-    def rest(it):
-        x, y = shared.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            v = np.array(pdf["v"].tolist(), float)
-            s = v @ x.T / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-            near = np.argpartition(-s, min(5, len(x)) - 1, axis=1)[:, : min(5, len(x))]
-            close = np.take_along_axis(s, near, 1)
-            w = np.exp(10 * (close - close.max(1, keepdims=True)))
-            yield pd.DataFrame({"id": pdf["id"], "point": list((y[near] * w[:, :, None]).sum(1) / w.sum(1)[:, None])})
 
-    src = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return src.mapInPandas(rest, f"id {kind}, point array<double>").withColumnRenamed("id", id_col)
+def project(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int, dims: int, seed: int = 42) -> DataFrame:
+    """(id, point): every row with a vector in `dims` dimensions, all in one layout."""
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, point array<double>"
+    ids, x = _rows(df, id_col, vec_col)
+    if not len(ids):
+        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    shared = spark.sparkContext.broadcast(x)
+    near = spark.sparkContext.broadcast(_neighbours(spark, shared, len(x), clamp_neighbors(n_neighbors, len(x))) if len(x) > dims + 1 else None)
+    names = spark.sparkContext.broadcast(ids)
+
+    def run(it):
+        for _ in it:
+            y = layout(shared.value, n_neighbors, dims, seed, near=near.value)
+            for e in range(0, len(y), 10_000):
+                yield pd.DataFrame({"id": names.value[e : e + 10_000], "point": list(y[e : e + 10_000])})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
-def sweep(df: DataFrame, id_col: str, vec_col: str, low: int = 15, high: int = 25, seed: int = 42, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The metrics of every candidate, one row each; candidates run side by side."""
+def sweep(df: DataFrame, id_col: str, vec_col: str, low: int = 15, high: int = 25, seed: int = 42) -> DataFrame:
+    """The metrics of every candidate over all rows, one row each; candidates run side by side."""
     spark = df.sparkSession
-    data = _sample(df, id_col, vec_col, fit_rows).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))  # at most fit_rows
-    cand = candidates(spark, low, high).repartition(high - low + 1 if high >= low else 1, "n_neighbors")
+    _, x = _rows(df, id_col, vec_col)
+    most = clamp_neighbors(max(2, low, high), len(x))
+    shared = spark.sparkContext.broadcast(x)
+    near = spark.sparkContext.broadcast(_neighbours(spark, shared, len(x), most) if len(x) > 3 else None)
 
     def run(it):
         for pdf in it:
-            for k, rows in zip(pdf["n_neighbors"], pdf["rows"], strict=True):
-                x = np.array([r["v"] for r in rows], float)
-                yield pd.DataFrame([metrics(layout(x, int(k), 2, seed) if len(x) else np.empty((0, 2)), int(k))])
+            for k in pdf["n_neighbors"]:
+                yield pd.DataFrame([metrics(layout(shared.value, int(k), 2, seed, near=near.value) if len(shared.value) else np.empty((0, 2)), int(k))])
 
-    return cand.crossJoin(F.broadcast(data)).mapInPandas(run, METRICS)
+    return candidates(spark, low, high).mapInPandas(run, METRICS)
 
 
 def choose(evaluation: DataFrame, largest_share: float = 0.6, override: int | None = None) -> int:

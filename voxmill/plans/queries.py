@@ -418,13 +418,13 @@ def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def umap_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of every candidate number of neighbours."""
-    return projection.sweep(_points(spark, d), "id", "embedding", 15, 18, fit_rows=2_000)
+    return projection.sweep(_points(spark, d), "id", "embedding")
 
 
 @query()
 def hdbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     """Cluster of every usable point after projection to five dimensions."""
-    flat = cut_lineage(projection.project(_points(spark, d), "id", "embedding", 15, 5, fit_rows=2_000))
+    flat = cut_lineage(projection.project(_points(spark, d), "id", "embedding", 15, 5))
     return density.hdbscan(flat, "id", "point", 10).select("id", "cluster")
 
 
