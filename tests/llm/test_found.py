@@ -104,6 +104,14 @@ def test_p3_names_and_placeholders(spark):
     assert p3.redact(texts(spark, []), "id", "text").count() == 0
 
 
+def test_p3_hot_names_and_phrases(spark):
+    rows = [(f"copy{i}", f"{PLAIN[0]} My name is Velorin Quillorsk. {PLAIN[1]}") for i in range(60)]
+    rows += [(f"staff{i}", f"{PLAIN[i % 5]} I asked for Nimarbel Tarelvin at counter {i}.") for i in range(60)]
+    rows += [(f"phrase{i}", f"The contact desk {i} was closed. {PLAIN[2]} The desk stayed empty, no desk was open.") for i in range(60)]
+    named = {r.id for r in p3.findings(texts(spark, rows), "id", "text").collect() if r.kind == "name"}
+    assert named == {f"{k}{i}" for k in ("copy", "staff") for i in range(60)}
+
+
 def brute_groups(rows, least=p4.SIMILARITY):
     sets = {i: frozenset(p4.WORD.findall(t.lower())) for i, t in rows if i and t and p4.WORD.findall(t.lower())}
     up = {i: i for i in sets}

@@ -26,8 +26,9 @@ from voxmill.session import cut_lineage
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Share of protected occurrences from which a term discloses a person, and the counts added to it.
 DISCLOSURE, PRIOR_HITS, PRIOR_ALL = 0.25, 0.1, 0.5
-#: A term is part of a phrase with a cue if so often, and in so large a share of the cue's uses, it follows the cue.
-PHRASE_COUNT, PHRASE_SHARE = 20, 0.05
+#: A term is part of a phrase with a cue if so large a share of its protected places is of this cue and it stands outside
+#: protected places more often than in them by so many standard deviations of an even chance.
+PHRASE_CUE, PHRASE_DEVIATIONS = 0.9, 2.0
 #: Words near long digit runs whose odds are kept, the most frequent ones.
 ID_CONTEXT = 2000
 
@@ -205,12 +206,13 @@ def name_spans(low: str, terms: TermFilter) -> list[tuple[int, int, str, str | N
 
 def _model(src: DataFrame) -> tuple[DataFrame, np.ndarray, dict[str, float]]:
     """(disclosing terms, their filter, log odds of the words near long digit runs for an identity number)."""
-    counts = arrow_map(src.select("text"), _counts, "term string, cue string, n bigint, a bigint, r bigint, i bigint")
-    by_cue = counts.groupBy("term", "cue").agg(*[F.sum(c).alias(c) for c in "nari"]).persist()
-    # A word that a cue nearly always brings along is part of a phrase, not an open class of persons.
-    per_cue = by_cue.where("cue IS NOT NULL").groupBy("cue").agg(F.sum("a").alias("all_a"))  # a row for each word of the lists above
-    open_class = by_cue.join(F.broadcast(per_cue), "cue", "left").withColumn("a", F.when((F.col("a") >= PHRASE_COUNT) & (F.col("a") >= PHRASE_SHARE * F.col("all_a")), 0).otherwise(F.col("a")))
-    sums = open_class.groupBy("term").agg(*[F.sum(c).alias(c) for c in "nari"])
+    texts = src.select("text").distinct()  # copies of a text say nothing new about its words
+    counts = arrow_map(texts, _counts, "term string, cue string, n bigint, a bigint, r bigint, i bigint")
+    by_cue = counts.groupBy("term", "cue").agg(*[F.sum(c).alias(c) for c in "nari"])
+    sums = by_cue.groupBy("term").agg(*[F.sum(c).alias(c) for c in "nari"], F.max("a").alias("of_one_cue")).persist()
+    # A word of one cue that mostly stands outside protected places is part of a phrase, however often the cue brings it along.
+    phrase = (F.col("of_one_cue") >= PHRASE_CUE * F.col("a")) & (F.col("n") - 2 * F.col("a") > PHRASE_DEVIATIONS * F.sqrt("n"))
+    sums = sums.withColumn("a", F.when(phrase, 0).otherwise(F.col("a")))
     strong = sums.where(f"(a + {PRIOR_HITS}) / (n + {PRIOR_ALL}) >= {DISCLOSURE} AND a > 0").select("term")
 
     odds = sums.where("r > 0").orderBy(F.desc("r"), "term").limit(ID_CONTEXT).select("term", F.expr("ln((i + 0.5) / (r - i + 0.5))").alias("odds"))
