@@ -198,6 +198,15 @@ def test_p6_labels_and_mixes(spark):
     assert p6.documents(empty, "id", "text", "lang").count() == 0
 
 
+def test_p6_short_foreign_sentence(spark):
+    short = {k: next(" ".join(w[:e]) + "." for w in [v[0].split()] for e in range(1, len(w)) if 24 <= sum(map(str.isalpha, "".join(w[:e]))) < 40) for k, v in SAMPLES.items()}
+    rows = [(f"{k}{i}", " ".join(v[(i + j) % 3] for j in range(3)), k) for k, v in SAMPLES.items() for i in range(12)]
+    rows += [(f"{k}+{m}", f"{' '.join(v)} {short[m]}", k) for k, v in SAMPLES.items() for m in SAMPLES if m != k]
+    d = p6.documents(spark.createDataFrame(rows, "id string, text string, lang string"), "id", "text", "lang")
+    got = {r.id: r.unlabelled for r in d.where("id LIKE '%+%'").collect()}
+    assert got == {f"{k}+{m}": [m] for k in SAMPLES for m in SAMPLES if m != k}
+
+
 def sphere(rng, n, d=32):
     v = rng.normal(size=(n, d))
     return v / np.linalg.norm(v, axis=1)[:, None]

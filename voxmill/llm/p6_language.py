@@ -34,8 +34,8 @@ TRAIN_ROWS, CENTROIDS, FIT_ROUNDS = 3000, 4, 6
 BUCKETS = 1 << 15
 #: A segment decides for itself from this cosine, lead over the next language and number of letters on.
 LEAST_COSINE, LEAST_LEAD, LEAST_LETTERS = 0.12, 0.04, 24
-#: Letters in one language, besides the document's own, from which a document is mixed.
-DISSENT_LETTERS = 40
+#: Letters from which another language than the document's main one counts, and the confidence from which a shorter sentence does.
+DISSENT_LETTERS, SHORT_CONFIDENCE = 40, 0.5
 SENTENCE = re.compile(r"(?<=[.!?…])[\s ]+|\n+")
 #: Documents that are scored at once.
 BLOCK = 400
@@ -157,9 +157,9 @@ def classify(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarr
             c = np.clip(lead / np.maximum(top[:, 0], 1e-9), 0, 1)
             np.add.at(vote, (doc, k), np.where(sure, letters[: len(segs)], 0.01 * letters[: len(segs)]) * np.maximum(top[:, 0], 0))
             main = np.where(vote.sum(1) > 0, vote.argmax(1), -1)
-            said = np.zeros((len(parts), len(LANGS)))  # letters of each language; a few do not make a document mixed
+            said = np.zeros((len(parts), len(LANGS)))  # letters of each language; a few, unless very clear, do not make a document mixed
             np.add.at(said, (doc[sure], k[sure]), letters[: len(segs)][sure])
-            sure &= (k == main[doc]) | (said[doc, k] >= DISSENT_LETTERS)
+            sure &= (k == main[doc]) | (said[doc, k] >= DISSENT_LETTERS) | (c >= SHORT_CONFIDENCE)
             lang.append(np.where(sure, k, main[doc]))
             conf.append(np.where(sure, c, c * 0.5))
             own.append(sure)
