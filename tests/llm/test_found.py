@@ -112,6 +112,14 @@ def test_p3_hot_names_and_phrases(spark):
     assert named == {f"{k}{i}" for k in ("copy", "staff") for i in range(60)}
 
 
+def test_p3_rare_words_around_a_number(spark):
+    spell = lambda i: "".join(chr(97 + i // 26**e % 26) for e in range(3))
+    rows = [(f"code{n}-{i}", f"q{spell(i)} r{spell(i)} s{spell(i)} t{spell(i)} 8{i:015d} u{spell(i)} v{spell(i)} w{spell(i)}. Part {n}.") for i in range(300) for n in range(4)]
+    rows += [(f"shape{n}", f"zzrare zzseldom 3171-2345-6789-0123 zzscarce. Part {n}.") for n in range(2)] + [("number", "zzrare zzseldom 31712345678901234 zzscarce")]
+    got = {(r.id, r.kind) for r in p3.findings(texts(spark, rows), "id", "text").collect()}
+    assert got == {(k, "id_number") for k in ("shape0", "shape1", "number")}
+
+
 def brute_groups(rows, least=p4.SIMILARITY):
     sets = {i: frozenset(p4.WORD.findall(t.lower())) for i, t in rows if i and t and p4.WORD.findall(t.lower())}
     up = {i: i for i in sets}

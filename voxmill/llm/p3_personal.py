@@ -11,6 +11,7 @@ or an identity number: the words around runs of unmistakable form disclose the o
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,8 +30,6 @@ DISCLOSURE, PRIOR_HITS, PRIOR_ALL = 0.25, 0.1, 0.5
 #: A term is part of a phrase with a cue if so large a share of its protected places is of this cue and it stands outside
 #: protected places more often than in them by so many standard deviations of an even chance.
 PHRASE_CUE, PHRASE_DEVIATIONS = 0.9, 2.0
-#: Words near long digit runs whose odds are kept, the most frequent ones.
-ID_CONTEXT = 2000
 
 # Words that introduce a person or an identity document.
 LEFT_CUES = (
@@ -82,9 +81,14 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def structural(low: str, id_odds: dict[str, float]) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of what has a form of its own; spans do not overlap."""
+def structural(low: str) -> Iterator[tuple[str, int, int, list[str] | None, int | None]]:
+    """(kind, start, end, words, over) of what has a form of its own; spans do not overlap.
+
+    A digit run that only the words around it can decide is of kind 'run' and brings them along. What overlaps
+    it stands only if the run does not; `over` is the start of that run.
+    """
     taken: list[tuple[int, int]] = []
+    runs: list[tuple[int, int]] = []
 
     def free(a: int, b: int) -> bool:
         if any(a < y and x < b for x, y in taken):
@@ -92,32 +96,36 @@ def structural(low: str, id_odds: dict[str, float]) -> Iterator[tuple[str, int,
         taken.append((a, b))
         return True
 
+    def over(a: int, b: int) -> int | None:
+        return next((x for x, y in runs if a < y and x < b), None)
+
     if "@" in low or BRACKET_AT.search(low):
         for m in EMAIL.finditer(low):
             if free(*m.span()):
-                yield "email", *m.span()
+                yield "email", *m.span(), None, None
     for m in ID_SHAPE.finditer(low):
         if free(*m.span()):
-            yield "id_number", *m.span()
+            yield "id_number", *m.span(), None, None
     for m in SEVEN.finditer(low):
         if (left := PASSPORT_LEFT.search(low, max(0, m.start() - 3), m.start())) and free(left.start(), m.end()):
-            yield "id_number", left.start(), m.end()
+            yield "id_number", left.start(), m.end(), None, None
     for m in RUN.finditer(low):
         if sum(c.isdigit() for c in m[0]) < 6 or DATE.fullmatch(m[0]):
             continue
         if (left := ID_LEFT.search(low, max(0, m.start() - 50), m.start())) and free(*m.span()):
-            yield "id_number", *m.span()
+            yield "id_number", *m.span(), None, None
     for m in LONG_RUN.finditer(low):
-        if sum(id_odds.get(w, 0.0) for w in set(near(low, *m.span()))) > 0 and free(*m.span()):
-            yield "id_number", *m.span()
+        if not any(m.start() < y and x < m.end() for x, y in taken):
+            runs.append(m.span())
+            yield "run", *m.span(), sorted(set(near(low, *m.span()))), None
     for m in PHONE.finditer(low):
         if free(*m.span()):
-            yield "phone", *m.span()
+            yield "phone", *m.span(), None, over(*m.span())
     for words, pattern in ADDRESSES:
         if any(w in low for w in words):
             for m in pattern.finditer(low):
                 if free(*m.span()):
-                    yield "address", *m.span()
+                    yield "address", *m.span(), None, over(*m.span())
 
 
 def near(text: str, a: int, b: int) -> list[str]:
@@ -204,7 +212,7 @@ def name_spans(low: str, terms: TermFilter) -> list[tuple[int, int, str, str | N
     return out
 
 
-def _model(src: DataFrame) -> tuple[DataFrame, np.ndarray, dict[str, float]]:
+def _model(src: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """(disclosing terms, their filter, log odds of the words near long digit runs for an identity number)."""
     texts = src.select("text").distinct()  # copies of a text say nothing new about its words
     counts = arrow_map(texts, _counts, "term string, cue string, n bigint, a bigint, r bigint, i bigint")
@@ -214,9 +222,8 @@ def _model(src: DataFrame) -> tuple[DataFrame, np.ndarray, dict[str, float]]:
     phrase = (F.col("of_one_cue") >= PHRASE_CUE * F.col("a")) & (F.col("n") - 2 * F.col("a") > PHRASE_DEVIATIONS * F.sqrt("n"))
     sums = sums.withColumn("a", F.when(phrase, 0).otherwise(F.col("a")))
     strong = sums.where(f"(a + {PRIOR_HITS}) / (n + {PRIOR_ALL}) >= {DISCLOSURE} AND a > 0").select("term")
-
-    odds = sums.where("r > 0").orderBy(F.desc("r"), "term").limit(ID_CONTEXT).select("term", F.expr("ln((i + 0.5) / (r - i + 0.5))").alias("odds"))
-    return strong, bloom_bits(strong, "term"), {r.term: r.odds for r in odds.collect()}
+    odds = sums.where("r > 0").select("term", F.expr("ln((i + 0.5) / (r - i + 0.5))").alias("odds"))
+    return strong, bloom_bits(strong, "term"), odds
 
 
 def findings(texts: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
@@ -226,7 +233,7 @@ def findings(texts: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     none. Columns besides those named are ignored.
     """
     src = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    strong, filled, id_odds = _model(src)
+    strong, filled, odds = _model(src)
     shared = src.sparkSession.sparkContext.broadcast(filled.tobytes())  # 1 MiB, whatever the corpus
     held: dict[str, TermFilter] = {}
 
@@ -236,17 +243,23 @@ def findings(texts: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
         ids, out = b.column("id").to_pylist(), []
         for i, t in zip(ids, b.column("text").to_pylist(), strict=True):
             low = lowered(t)
-            out += [(i, k, s, e, None, None) for k, s, e in structural(low, id_odds)]
-            out += [(i, "name", s, e, w, v) for s, e, w, v in name_spans(low, held["f"])]
-        return dict(zip(("id", "kind", "start", "end", "w1", "w2"), map(list, zip(*out)), strict=True)) if out else None
+            out += [(i, k, s, e, None, None, ws, o) for k, s, e, ws, o in structural(low)]
+            out += [(i, "name", s, e, w, v, None, None) for s, e, w, v in name_spans(low, held["f"])]
+        return dict(zip(("id", "kind", "start", "end", "w1", "w2", "words", "over"), map(list, zip(*out)), strict=True)) if out else None
 
     kind = src.schema["id"].dataType.simpleString()
-    found = cut_lineage(arrow_map(src, run, f"id {kind}, kind string, start int, end int, w1 string, w2 string"))
+    found = cut_lineage(arrow_map(src, run, f"id {kind}, kind string, start int, end int, w1 string, w2 string, words array<string>, over int"))
     found = found.dropDuplicates(["id", "kind", "start", "end"])
     # The filter lets a few other terms through; the exact terms decide.
     named = found.where("kind = 'name'").join(strong.withColumnRenamed("term", "w1"), "w1", "left_semi")
     named = named.where("w2 IS NULL").unionByName(named.where("w2 IS NOT NULL").join(strong.withColumnRenamed("term", "w2"), "w2", "left_semi"))
-    return found.where("kind <> 'name'").unionByName(named).select(F.col("id").alias(id_col), "kind", "start", "end")
+    # Every word around a run has its odds, however rare it is.
+    asked = found.where("kind = 'run'").select("id", "start", "end", F.explode("words").alias("term")).join(odds, "term")
+    numbers = asked.groupBy("id", "start", "end").agg(F.sum("odds").alias("odds")).where("odds > 0").select("id", F.lit("id_number").alias("kind"), "start", "end")
+    own = found.where("kind NOT IN ('name', 'run')")
+    under = own.where("over IS NOT NULL").alias("u").join(numbers.alias("n"), F.expr("u.id <=> n.id AND u.over = n.start"), "left_anti")
+    parts = [own.where("over IS NULL"), under, named, numbers]
+    return functools.reduce(DataFrame.unionByName, [p.select("id", "kind", "start", "end") for p in parts]).withColumnRenamed("id", id_col)
 
 
 def redact(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
