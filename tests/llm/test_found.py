@@ -295,6 +295,13 @@ def test_p9_knapsack_and_mix(spark):
     assert p9.mix(df.limit(0), "doc_id", t)[1].where("actual_tokens > 0").count() == 0
 
 
+def test_p9_rows_come_from_the_plan(spark):
+    df = spark.createDataFrame([(0, 7, "a"), (1, 5, "a"), (2, 9, "b"), (3, 75, "c")], "doc_id int, n_tokens int, source string")
+    t = spark.createDataFrame([(1, "a", 0.25, 3), (1, "b", 0.5, 2), (1, "none", 0.25, 9), (2, "c", 1.0, 1), (2, "b", 0.0, 1)], "mix_id long, source string, target_share double, max_repeats int")
+    got = {(r.mix_id, r.source): (r.falls_short, r.can_be_met) for r in p9.mix(df, "doc_id", t)[1].collect()}
+    assert got == {(1, "a"): (False, True), (1, "b"): (True, False), (1, "none"): (True, False), (2, "c"): (True, False), (2, "b"): (False, True)}
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id int, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.token_counts(df, "doc_id", "text").collect()}

@@ -96,7 +96,10 @@ def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(sized: DataFrame, id_col: str, targets: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Chosen documents (mix_id, source, id, n_tokens, copies) and shares (mix_id, source, target_share, target_tokens, actual_tokens, actual_share, can_be_met)."""
+    """Chosen documents (mix_id, source, id, n_tokens, copies) and shares (mix_id, source, target_share, target_tokens, actual_tokens, actual_share, can_be_met, falls_short).
+
+    A row falls short if its plan takes every copy there is and still stays below the target.
+    """
     b = cut_lineage(budgets(sized, targets))
     keyed = sized.where("source IS NOT NULL").select(F.col(id_col).alias("id"), "n_tokens", source_key("source").alias("key"))
     histogram = keyed.groupBy("key", "n_tokens").agg(F.count(F.lit(1)).alias("c"))
@@ -121,8 +124,9 @@ def mix(sized: DataFrame, id_col: str, targets: DataFrame, seed: int = SEED) ->
     chosen = ranked.withColumn("copies", copies.cast("int")).where("copies > 0").select("mix_id", "source", F.col("id").alias(id_col), "n_tokens", "copies")
     got = wanted.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"))
     shares = b.join(got, ["mix_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
+    shares = shares.withColumn("falls_short", (F.col("actual_tokens") >= F.col("available_tokens")) & (F.col("actual_tokens") < F.col("target_tokens")))
     whole = shares.groupBy("mix_id").agg(F.sum("actual_tokens").alias("mix_tokens"))
-    shares = shares.join(whole, "mix_id").select("mix_id", "source", "target_share", F.floor("target_tokens").alias("target_tokens"), "actual_tokens", F.round(F.col("actual_tokens") / F.greatest("mix_tokens", F.lit(1)), 6).alias("actual_share"), "can_be_met")
+    shares = shares.join(whole, "mix_id").select("mix_id", "source", "target_share", F.floor("target_tokens").alias("target_tokens"), "actual_tokens", F.round(F.col("actual_tokens") / F.greatest("mix_tokens", F.lit(1)), 6).alias("actual_share"), "can_be_met", "falls_short")
     return chosen, shares
 
 
@@ -131,12 +135,12 @@ def _sized(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> Data
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_sized(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[1].where("NOT can_be_met").select("mix_id", "source")
+    return mix(_sized(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[1].where("falls_short AND NOT can_be_met").select("mix_id", "source")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source of each mix."""
-    return mix(_sized(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[1]
+    return mix(_sized(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[1].drop("falls_short")
 
 
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
