@@ -135,6 +135,17 @@ def brute_groups(rows, least=p4.SIMILARITY):
     return {frozenset(k for k in sets if top(k) == r) for r in map(top, sets)}
 
 
+def test_p4_hot_keys_and_large_groups(spark, monkeypatch):
+    """Blocks of hot keys and of large groups give what one task gives."""
+    rows = [(f"k{i:02d}", f"{PLAIN[0]} {PLAIN[1]} number w{i}") for i in range(30)] + [(f"o{i}", t) for i, t in enumerate(PLAIN[2:])]
+    plain = sorted(map(tuple, p4.pairs_within(p4.groups(texts(spark, rows), "id", "text"), "id", "group_id").collect()))
+    for name, v in (("BIN_KEYS", 1), ("HOT_ROWS", 2), ("GROUP_ROWS", 4), ("PARTITION_KEYS", 100)):
+        monkeypatch.setattr(p4, name, v)
+    cut = p4.groups(texts(spark, rows), "id", "text")
+    assert sorted(map(tuple, p4.pairs_within(cut, "id", "group_id").collect())) == plain == [(f"k{i:02d}", f"k{j:02d}") for i in range(30) for j in range(i + 1, 30)]
+    assert {r.n_links for r in cut.where("id LIKE 'k%'").collect()} == {29}
+
+
 def test_p4_against_brute_force(spark):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(3000)]

@@ -21,4 +21,16 @@ ORACLES = {
         )
         SELECT probe_no, id FROM s WHERE r <= k
     """,
+    # Every pair of distinct texts compared; groups by repeated passing on of the least id.
+    "p4_found": """
+        WITH RECURSIVE c AS (SELECT case_id, min(verbatim) AS t FROM feedback_raw WHERE regexp_matches(coalesce(case_id, ''), '\\S') AND regexp_matches(coalesce(verbatim, ''), '\\S') GROUP BY case_id),
+        w AS (SELECT case_id, list_sort(list_distinct(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+'))) AS ws FROM c),
+        k AS (SELECT ws, min(case_id) AS rep, len(ws) AS n FROM w WHERE len(ws) > 0 GROUP BY ws),
+        near AS (SELECT a.rep AS a, b.rep AS b FROM k a JOIN k b ON a.rep < b.rep AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n WHERE len(list_intersect(a.ws, b.ws)) >= 0.75 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
+        e AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+        r AS (SELECT rep AS node, rep AS root FROM k UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+        g AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+        m AS (SELECT w.case_id, g.root FROM w JOIN k ON k.ws = w.ws JOIN g ON g.node = k.rep)
+        SELECT x.case_id AS case_id_a, y.case_id AS case_id_b FROM m x JOIN m y ON x.root = y.root AND x.case_id < y.case_id
+    """,
 }
