@@ -1,34 +1,36 @@
-"""General words of abuse in five languages, as prior knowledge for the log odds of problem 10.
+"""General words and phrases of abuse in five languages, the prior knowledge of problem 10.
 
-STRONG words rarely have a harmless use, WEAK ones add up with others, PHRASES are judged as a whole.
-GROUPS are people that hate is directed at; being named is harmless. HARMLESS are phrases whose words look
-worse than they are.
+They only give pseudo-counts to a Dirichlet prior; how much a word is worth follows from its use in the corpus and
+in the labelled rows. STRONG words rarely have a harmless use, WEAK ones have a plain meaning too and
+add up with others, GROUPS are people that
+hate is directed at; being named is harmless. PHRASES are listed by what they say: threats, wishes of harm,
+dehumanising talk, expulsion, curses, sexual demands.
 """
 
 STRONG = """
-idiot idiots moron morons imbecile imbeciles stupid scum scumbag scumbags bastard bastards asshole assholes arsehole shit bullshit bitch bitches
-cunt whore whores slut sluts jerk jerks retard retarded fuck fucking fucker motherfucker dickhead prick wanker twat douchebag parasite parasites
-vermin subhuman subhumans brainless scumbag cretin cretins dimwit halfwit dunce swine cockroach cockroaches leech leeches loser losers lowlife sleazebag tits boobs nude nudes blowjob porn horny cock pussy dick goddamn
-bodoh goblok tolol bangsat brengsek keparat bajingan anjing kampret sialan babi monyet dungu pelacur lonte jablay bugil telanjang ngentot kontol memek setan biadab laknat
-idiota idiotas imbécil imbéciles imbecil estúpido estúpida estúpidos estúpidas gilipollas cabrón cabrones puta putas puto hijoputa mierda pendejo pendejos capullo cretino cretinos zorra
-desnuda desnudo desnúdate escoria alimañas sabandijas inútil inútiles coño polla joder subnormal asqueroso asquerosa
-vollidiot vollidioten idioten trottel dummkopf arschloch arschlöcher scheiße scheiß scheiss scheisse wichser hurensohn schlampe hure nutte miststück drecksau dreckskerl abschaum ungeziefer
-schwachkopf blödmann penner missgeburt fotze titten ausziehen ausziehst nackt nackte nacktbilder untermenschen verrecken
-connard connards connasse salaud salauds salope putain merde crétin crétins abruti abrutis débile débiles enculé enculés ordure ordures vermine pute bâtard
-ducon imbéciles nichons nue nues bougnoule sous-hommes
+idiot idiots moron morons imbecile imbeciles stupid scum scumbag scumbags bastard bastards asshole assholes arsehole arseholes shit bullshit bitch bitches
+cunt cunts whore whores slut sluts jerk jerks retard retards retarded fuck fucking fucker fuckers motherfucker motherfuckers dickhead dickheads prick pricks wanker wankers twat twats douchebag
+subhuman subhumans brainless cretin cretins dimwit dimwits halfwit halfwits dunce loser losers lowlife lowlifes sleazebag tits boobs nude nudes blowjob porn horny goddamn
+bodoh goblok tolol bangsat brengsek keparat bajingan kampret sialan dungu pelacur lonte jablay bugil telanjang ngentot kontol memek biadab laknat
+idiota idiotas imbécil imbéciles imbecil estúpido estúpida estúpidos estúpidas gilipollas cabrón cabrones puta putas puto putos hijoputa mierda pendejo pendejos capullo capullos cretino cretinos zorra zorras
+desnuda desnudo escoria coño polla joder subnormal subnormales asqueroso asquerosa
+vollidiot vollidioten idioten trottel dummkopf arschloch arschlöcher scheiße scheiß scheiss scheisse wichser hurensohn hurensöhne schlampe schlampen hure huren nutte nutten miststück drecksau dreckskerl abschaum 
+schwachkopf blödmann missgeburt fotze titten nackt nackte nacktbilder untermenschen verrecken
+connard connards connasse connasses salaud salauds salope salopes putain merde crétin crétins abruti abrutis débile débiles enculé enculés pute putes bâtard bâtards
+ducon nichons nue nues sous-hommes vermine ordure
 """
 
 WEAK = """
-dumb greedy lazy two-faced crap filthy rotten pathetic disgusting lying liar liars thief thieves crook crooks pig pigs cow cows animals rats rat dirty useless disgrace worthless die dead dies hell burn teeth
-smash punch strangle stab shoot regret sexy naked sweetie undress undressed strip babe bed wearing uniform kiss
-busuk kotor rakus sampah dasar binatang pencuri maling mampus mati hajar bunuh bakar menyesal rumahmu cium seksi tidur otak kurang ajar perek tikus
-basura ladrón ladrones cerdo cerdos rata ratas animales asco muérete morir matar matarte arrepentirás besar guapa sexy dientes infierno
-dreckig dreckige dumm dumme schwein schweine dieb diebe tiere lügner krepieren umbringen zähne hölle bereuen küssen süße uniform
-sale sales pourri pourris voleur voleurs porc porcs animaux crever crève tuer tuerai regretter regretteras baiser embrasser chérie coucher sexy dents enfer
+dumb greedy lazy two-faced crap filthy rotten pathetic disgusting lying liar liars thief thieves crook crooks pig pigs cow cows animals rats rat dirty useless disgrace worthless die dies hell
+smash punch strangle stab shoot regret sexy naked sweetie undress strip babe bed wearing kiss vermin cockroach cockroaches leech leeches parasite parasites swine cock pussy dick
+busuk kotor rakus sampah dasar binatang pencuri maling mampus mati hajar bunuh bakar menyesal cium seksi tidur temani anjing babi monyet setan
+basura ladrón ladrones cerdo cerdos rata ratas animales asco muérete morir matar matarte arrepentir besar guapa sexy infierno inútil inútiles desnudar alimañas sabandijas
+dreckig dreckige dumm dumme schwein schweine dieb diebe tiere lügner lügt krepieren umbringen hölle bereuen küssen süße ausziehen ungeziefer
+pourri pourris voleur voleurs porc porcs animaux crever crève tuer tuerai regretter baiser embrasser chérie coucher sexy enfer déshabiller ordures
 """
 
 GROUPS = """
-foreigners foreigner immigrants immigrant migrants refugees women woman girls gays homosexuals lesbians muslims jews christians hindus blacks disabled cripples religion race islanders natives gypsies
+foreigners foreigner immigrants immigrant migrants refugees women girls gays homosexuals lesbians muslims jews christians hindus blacks disabled cripples religion race islanders natives gypsies
 perempuan wanita pendatang cina agama pulau suku kafir banci cacat difabel pribumi
 extranjeros inmigrantes mujeres gays maricones musulmanes judíos negros gitanos discapacitados religión raza isleños
 ausländer einwanderer flüchtlinge frauen schwule muslime juden schwarze zigeuner behinderte religion rasse insulaner
@@ -36,21 +38,24 @@ ausländer einwanderer flüchtlinge frauen schwule muslime juden schwarze zigeun
 """
 
 PHRASES = """
-go to hell|drop dead|drops dead|i will kill|kill you|kill him|kill her|kill them|smash his|smash her|smash your|his teeth|your teeth|watch your back|where you live|where he lives|where she lives|
-you will regret|burn down your|break your|hope you die|piece of shit|shut up|shut your mouth|crawl back|too dumb|too stupid|by nature|not human|not humans|thrown out|stay at home instead|
-go back to where|do not belong|nude pictures|naked pictures|sleep with me|see her naked|see him naked|see you naked|naked girls|show me everything|are you wearing|take off your|under that uniform|should be shot|should be gassed|all thieves|in bed|
-tahu rumahmu|tahu rumah|akan menyesal|akan kubunuh|saya bunuh|kubunuh|kuhajar|saya hajar|memang binatang|usir saja|terlalu bodoh|dasar maling|makan uang|foto bugil|tidur dengan|temani saya tidur|buka baju|mati saja|otak udang|bukan manusia|pulang saja|
-hijo de puta|hijos de puta|hija de puta|vete al infierno|te voy a matar|voy a matar|sé dónde vives|te vas a arrepentir|romper los dientes|romperé los dientes|ojalá te mueras|ojalá os muráis|demasiado tontas|demasiado tontos|por naturaleza|no son humanos|
-fuera de aquí|vete a tu país|quítate la ropa|fotos desnuda|acostarte conmigo|que se desnude|banda de|
-fahr zur hölle|ich bringe dich um|bringe euch um|weiß wo du wohnst|weiß wo ihr wohnt|wirst es bereuen|die zähne ein|zu dumm|zu blöd|von natur aus|keine menschen|gehören weg|raus aus|zieh dich aus|soll sich ausziehen|für mich ausziehen|nackt sehen|sie nackt|dich nackt|mit mir schlafen|halt die fresse|halt die klappe|
-va te faire|allez vous faire|je vais te tuer|je vais vous tuer|je sais où tu habites|je sais où vous habitez|tu vas le regretter|vous allez le regretter|casser les dents|trop bêtes|trop stupides|trop bête|par nature|pas des humains|bande de|toute nue|coucher avec moi|
-déshabille-toi|ferme ta gueule|fermez vos gueules|fils de pute|rentrez chez vous|dehors les
-"""
-
-HARMLESS = """
-naked eye|dumb terminal|breast cancer|kill the app|kill the process|kill process|bloody nose|adult savings|date of birth|sex and date|dummy card|guard dog|sex education|dead line|dead battery|dead phone|shoot me a|cock fight|
-mata telanjang|anjing penjaga|anjing pelacak|pakan binatang|jenis kelamin|kebun binatang|makanan anjing|mematikan proses|mati lampu|mati listrik|listrik mati|
-simple vista|ojo desnudo|ratas de laboratorio|cáncer de mama|el sexo y|perro guardián|
-bloßem auge|nackten auge|nach geschlecht|gegen ungeziefer|wachhund|brustkrebs|toter winkel|
-œil nu|oeil nu|le sexe et|chien de garde|cancer du sein|rat de bibliothèque
+i will kill|kill you|kill him|kill her|kill them|know where you live|know where he lives|know where she lives|you will regret|watch your back|smash your|break your|burn down your|
+akan kubunuh|saya bunuh|kubunuh|kuhajar|saya hajar|tahu rumahmu|tahu di mana kamu tinggal|akan menyesal|
+voy a matar|sé dónde vives|te vas a arrepentir|te arrepentirás|romperé los dientes|
+bringe dich um|bringe euch um|weiß wo du wohnst|weiß wo ihr wohnt|wirst es bereuen|werdet es bereuen|
+vais te tuer|vais vous tuer|sais où tu habites|sais où vous habitez|vas le regretter|allez le regretter|casser les dents|
+drop dead|drops dead|hope you die|go to hell|shut up|shut your mouth|piece of shit|son of a bitch|
+mati saja|pergi ke neraka|tutup mulutmu|anak anjing|
+ojalá te mueras|ojalá os muráis|vete al infierno|cierra la boca|hijo de puta|hijos de puta|hija de puta|
+fahr zur hölle|halt die fresse|halt die klappe|
+va te faire|allez vous faire|ferme ta gueule|fermez vos gueules|fils de pute|bande de|banda de|
+not human|not humans|by nature|too stupid|too dumb|all thieves|thrown out|do not belong|stay at home instead|go back to where|should be shot|
+bukan manusia|memang binatang|terlalu bodoh|dasar maling|usir mereka|pulang ke negaramu|
+no son humanos|por naturaleza|demasiado tontos|demasiado tontas|fuera de aquí|vete a tu país|
+keine menschen|von natur aus|zu dumm|zu blöd|gehören weg|raus aus|
+pas des humains|par nature|trop bêtes|trop stupides|dehors les|rentrez chez vous|
+sleep with me|take off your|are you wearing|show me everything|naked pictures|nude pictures|in bed|
+tidur dengan|tidur bersama|buka baju|foto bugil|
+acostarte conmigo|quítate la ropa|fotos desnuda|ver desnuda|
+mit mir schlafen|zieh dich aus|soll sich ausziehen|dich nackt|sie nackt|
+coucher avec moi|déshabille-toi|toute nue
 """
