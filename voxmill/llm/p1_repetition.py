@@ -1,10 +1,10 @@
 """Problem 1: how much of a text repeats what the same text said before.
 
-Each text is cut into words (letters only, lower case, so punctuation and counting numbers do not matter).
-Hashed word n-grams and hashed character n-grams give, order by order, the share of n-grams that occurred
-earlier in the same text. A logistic regression over these features, fitted on labelled quality rows and
-calibrated on held-out ones, turns them into the probability that the text is repetitive. Fixed thresholds
-then decide, and the exact share of repeated words confirms the rows above the lower one.
+Each text is cut into words (letters only, lower case, so punctuation and counting numbers do not matter). Its word
+n-grams and character n-grams are hashed into buckets, and a bucket's value is the share of the text's n-grams of
+that order that fall into it and stand earlier in the same text. A logistic regression over these hashed features,
+fitted on labelled quality rows and calibrated on held-out ones, gives the probability that the text is
+repetitive, and a fixed threshold decides. The exact share of repeated words is reported beside it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +24,14 @@ from voxmill.llm.common import arrow_map, hash_sample, lengths_to_owner, verbati
 WORD = re.compile(r"[^\W\d_]+")
 WORD_ORDERS = (1, 2, 3, 4, 6, 10)
 CHAR_ORDERS = (12, 30)
+#: Buckets of each order.
+BUCKETS = 16
 #: A stretch counts as repeated from this many words on; shorter ones recur in ordinary prose.
 STRETCH = 3
-#: Share of repeated words from which a text is a case.
+#: Share of repeated words from which a labelled row is bad.
 SHARE = 0.30
-#: Probability from which the exact share is looked at.
-SUSPECT = 0.02
+#: Probability from which a text is repetitive.
+THRESHOLD = 0.5
 #: Bound of the labelled sample the classifier is fitted on.
 TRAIN_ROWS = 1500
 
@@ -43,13 +46,16 @@ def profile(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     ids_of: dict[str, int] = defaultdict(count().__next__)
     flat = [w for ws in words for w in ws]
     ids = np.fromiter(map(ids_of.__getitem__, flat), np.int64, len(flat))
+    flat_hash = np.fromiter(map(xxhash.xxh64_intdigest, ids_of), np.uint64, len(ids_of))[ids]  # by spelling: the same in every batch
     owner = lengths_to_owner(lens)
-    feats, share = np.zeros((len(texts), len(WORD_ORDERS) + len(CHAR_ORDERS))), np.zeros(len(texts))
+    orders = len(WORD_ORDERS) + len(CHAR_ORDERS)
+    feats, share = np.zeros((len(texts), orders, BUCKETS)), np.zeros(len(texts))
     for k, n in enumerate(WORD_ORDERS):
-        again, own = _again(window_hash(ids, n), owner, n)
-        feats[:, k] = _rate(again, own, len(texts))
+        h = window_hash(flat_hash, n)
+        again, own = _again(h, owner, n)
+        feats[:, k] = _bucketed(h, again, own, len(texts))
         if n == STRETCH:
-            cover = np.zeros(len(ids), bool)
+            cover = np.zeros(len(flat), bool)
             for s in range(n):
                 cover[s : s + len(again)] |= again
             share = np.bincount(owner[cover], minlength=len(texts)) / np.maximum(lens, 1)
@@ -64,8 +70,8 @@ def profile(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             for i in range(n):
                 h = (h ^ codes[at + i]) * np.uint64(0x100000001B3)
                 h ^= h >> np.uint64(31)
-        feats[:, k] = _rate(_seen_before(h, own), own, len(texts))
-    return feats, share, lens
+        feats[:, k] = _bucketed(h, _seen_before(h, own), own, len(texts))
+    return feats.reshape(len(texts), -1), share, lens
 
 
 def _seen_before(h: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -87,8 +93,10 @@ def _again(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return again, own
 
 
-def _rate(again: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(own[again], minlength=n) / np.maximum(np.bincount(own, minlength=n), 1)
+def _bucketed(h: np.ndarray, again: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Per text and bucket: n-grams that were there before, over all n-grams of the text."""
+    at = own[again] * BUCKETS + (h[again] % np.uint64(BUCKETS)).astype(np.int64)
+    return np.bincount(at, minlength=n * BUCKETS).reshape(n, BUCKETS) / np.maximum(np.bincount(own, minlength=n), 1)[:, None]
 
 
 def stutter(text: str, kind: int, seed: int) -> str:
@@ -108,7 +116,7 @@ def fit(texts: list[str]) -> dict[str, np.ndarray]:
     """
     rows = [stutter(t, i // 2, i) if i % 2 else t for i, t in enumerate(texts) if t and t.split()]
     if not rows:
-        return {"w": np.ones(len(WORD_ORDERS) + len(CHAR_ORDERS)), "b": np.float64(0), "ab": np.array([1.0, 0.0])}
+        return {"w": np.ones((len(WORD_ORDERS) + len(CHAR_ORDERS)) * BUCKETS), "b": np.float64(0), "ab": np.array([1.0, 0.0])}
     x, share, _ = profile(rows)
     y = (share >= SHARE).astype(float)
     held = np.arange(len(rows)) % 5 == 0
@@ -150,7 +158,7 @@ def score(texts: DataFrame, id_col: str, text_col: str, train_rows: int = TRAIN_
     def run(b: pa.RecordBatch) -> dict:
         feats, share, lens = profile(b.column("text").to_pylist())
         p = probability(model, feats)
-        bad = (p >= SUSPECT) & (share >= SHARE)
+        bad = p >= THRESHOLD
         keep = bad if only_cases else np.ones(len(bad), bool)
         return {"id": b.column("id").filter(pa.array(keep)), "n_words": lens[keep], "repeated_share": np.round(share, 6)[keep], "probability": np.round(p, 6)[keep], "is_repetitive": bad[keep]}
 
