@@ -112,6 +112,12 @@ def test_p3_hot_names_and_phrases(spark):
     assert named == {f"{k}{i}" for k in ("copy", "staff") for i in range(60)}
 
 
+def test_p3_ordinary_words_in_the_form_of_an_address(spark):
+    rows = [(f"way{i}", f"Mohon kirim ongkos jalan paling lambat 1{i % 9} maret.") for i in range(30)] + [(f"late{i}", f"Balasan paling lambat besok, bagian {i}.") for i in range(120)]
+    rows += [(f"road{i}", f"On the road from Marl, part {i}.") for i in range(60)] + [("home", "Saya tinggal di jalan Wirantaka 12."), ("lane", "I live at 7 Fennshaw Road.")]
+    assert {(r.id, r.kind) for r in p3.findings(texts(spark, rows), "id", "text").collect()} == {("home", "address"), ("lane", "address")}
+
+
 def test_p3_rare_words_around_a_number(spark):
     spell = lambda i: "".join(chr(97 + i // 26**e % 26) for e in range(3))
     rows = [(f"code{n}-{i}", f"q{spell(i)} r{spell(i)} s{spell(i)} t{spell(i)} 8{i:015d} u{spell(i)} v{spell(i)} w{spell(i)}. Part {n}.") for i in range(300) for n in range(4)]

@@ -63,30 +63,42 @@ def window_hash(values: np.ndarray, n: int) -> np.ndarray:
         return h
 
 
-#: Bits of a filter that is sent to all executors in place of a set of keys: 1 MiB at any size of the set.
-FILTER_BITS = 1 << 23
+#: Bits for each key of a filter that is sent to all executors in place of a set of keys, and bits at least and at most.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 
 
-def bit_positions(keys: list) -> np.ndarray:
-    """Two bit positions a key."""
+def bit_positions(keys: list, bits: int) -> np.ndarray:
+    """Two bit positions a key; `bits` is a power of two."""
     import xxhash
 
-    h = np.array([xxhash.xxh64_intdigest(str(k)) for k in keys], np.uint64)
-    return np.stack([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)], 1).astype(np.int64)
+    h = np.fromiter((xxhash.xxh64_intdigest(str(k)) for k in keys), np.uint64, len(keys))
+    last = np.uint64(bits - 1)
+    return np.stack([h & last, (h >> np.uint64(32)) & last], 1).astype(np.int64)
 
 
 def bloom_bits(keys: DataFrame, key_col: str) -> np.ndarray:
-    """The Bloom filter of a column, built by the executors; FILTER_BITS bits whatever the number of keys."""
+    """The Bloom filter of a column as bytes, built by the executors and sized by the number of keys, up to MOST_BITS (16 MiB).
+
+    Beyond MOST_BITS / KEY_BITS keys more of the others pass, so an exact join must follow.
+    """
+    keys = keys.select(F.col(key_col).alias("k"))
+    size = int(min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys.count()).bit_length())))
 
     def bits(b: pa.RecordBatch) -> dict:
-        p = np.unique(bit_positions(b.column("k").to_pylist()))
-        at, start = np.unique(p >> 3, return_index=True)
-        return {"byte": at, "mask": np.bitwise_or.reduceat((1 << (p & 7)).astype(np.int32), start)}
+        p = np.unique(bit_positions(b.column("k").to_pylist(), size))
+        at, start = np.unique(p >> 6, return_index=True)
+        return {"at": at, "mask": np.bitwise_or.reduceat(np.uint64(1) << (p & 63).astype(np.uint64), start).view(np.int64)}
+
+    got = arrow_map(keys, bits, "at bigint, mask bigint").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most MOST_BITS / 64 rows
+    filled = np.zeros(size >> 6, np.int64)
+    filled[got.column("at").to_numpy()] = got.column("mask").to_numpy()
+    return filled.view(np.uint8)
+
 
-    filled = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for r in arrow_map(keys.select(F.col(key_col).alias("k")), bits, "byte bigint, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
-        filled[r["byte"]] = r["mask"]
-    return filled
+def may_be_in(filled: np.ndarray, keys: list) -> np.ndarray:
+    """Whether each key may be in the filter."""
+    p = bit_positions(keys, len(filled) << 3)
+    return (filled[p >> 3] >> (p & 7) & 1).all(1) if len(keys) else np.zeros(0, bool)
 
 
 def bloom_keep(df: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
@@ -97,8 +109,7 @@ def bloom_keep(df: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
         filled = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             if b.num_rows:
-                p = bit_positions(b.column(key_col).to_pylist())
-                yield b.filter(pa.array((filled[p >> 3] >> (p & 7) & 1).all(1)))
+                yield b.filter(pa.array(may_be_in(filled, b.column(key_col).to_pylist())))
 
     return df.mapInArrow(run, df.schema)
 

@@ -1,12 +1,18 @@
 """Problem 3: personal information in free text, found and replaced by typed placeholders.
 
-Addresses of mail, phone and identity numbers and street addresses have a form of their own and are found by
-it. Names have none. For them the corpus tells how strongly a term reveals a person: over all texts it is
-counted how often a term occurs at all and how often it stands in a protected place, next to words that
-introduce a person. The disclosure of a term is the smoothed share of its occurrences in protected places;
-terms above a threshold are removed wherever two of them stand together, one stands before an initial, or
-one stands in a protected place. The same measure decides long digit runs that could be a transaction code
-or an identity number: the words around runs of unmistakable form disclose the others.
+The corpus tells how strongly a term reveals a protected entity: over all texts it is counted how often a term
+occurs at all and how often it stands in a protected place of a kind. The disclosure of a term is the smoothed share
+of its occurrences in such places; terms above a threshold are removed there, others stay.
+
+* names: a protected place is next to words that introduce a person. Disclosing terms are removed wherever two of
+  them stand together, one stands before an initial, or one stands in a protected place.
+* street addresses: a protected place has the form of an address. An address is removed if one of its words, a
+  street's name or the word for street itself, discloses; so "jalan" before a date stays, as all of its words mostly
+  stand elsewhere.
+* digit runs that could be a transaction code or an identity number: the words around runs of unmistakable form
+  disclose the others.
+
+Addresses of mail, phone numbers and identity numbers of their own form have no other use; for them the form decides.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import arrow_map, bit_positions, bloom_bits, verbatims
+from voxmill.llm.common import arrow_map, bloom_bits, may_be_in, verbatims
 from voxmill.session import cut_lineage
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -84,8 +90,8 @@ def lowered(text: str) -> str:
 def structural(low: str) -> Iterator[tuple[str, int, int, list[str] | None, int | None]]:
     """(kind, start, end, words, over) of what has a form of its own; spans do not overlap.
 
-    A digit run that only the words around it can decide is of kind 'run' and brings them along. What overlaps
-    it stands only if the run does not; `over` is the start of that run.
+    A digit run that only the words around it can decide is of kind 'run' and brings them along, an address brings its
+    own words. What overlaps a run stands only if the run does not; `over` is the start of that run.
     """
     taken: list[tuple[int, int]] = []
     runs: list[tuple[int, int]] = []
@@ -125,7 +131,12 @@ def structural(low: str) -> Iterator[tuple[str, int, int, list[str] | None, int
         if any(w in low for w in words):
             for m in pattern.finditer(low):
                 if free(*m.span()):
-                    yield "address", *m.span(), None, over(*m.span())
+                    yield "address", *m.span(), sorted(address_words(m[0])), over(*m.span())
+
+
+def address_words(found: str) -> set[str]:
+    """The words of an address that may disclose it."""
+    return {w for w in WORD.findall(found) if len(w) > 1}
 
 
 def near(text: str, a: int, b: int) -> list[str]:
@@ -136,14 +147,19 @@ def near(text: str, a: int, b: int) -> list[str]:
 
 
 def _counts(b: pa.RecordBatch) -> dict:
-    """Per term: occurrences, occurrences in protected places, occurrences near long digit runs and near identity numbers."""
+    """Per term: occurrences, occurrences in protected places, in addresses, near long digit runs and near identity numbers."""
     n: Counter[str] = Counter()
     a: Counter[tuple[str, str]] = Counter()
     runs: Counter[str] = Counter()
     ids: Counter[str] = Counter()
+    streets: Counter[str] = Counter()
     for t in b.column("text").to_pylist():
         low = lowered(t)
         words = WORD.findall(low)
+        for marks, pattern in ADDRESSES:
+            if any(w in low for w in marks):
+                for m in pattern.finditer(low):
+                    streets.update(address_words(m[0]))
         n.update(words)
         if not LEFT_HEADS.isdisjoint(words):
             for m in LEFT.finditer(low):
@@ -167,6 +183,7 @@ def _counts(b: pa.RecordBatch) -> dict:
         "a": [0] * len(ws) + [a[x] for x in hits],
         "r": [runs[w] for w in ws] + none,
         "i": [ids[w] for w in ws] + none,
+        "s": [streets[w] for w in ws] + none,
     }
 
 
@@ -187,8 +204,7 @@ class TermFilter:
                 self.yes.clear()
                 new = here
             ask = list(new)
-            p = bit_positions(ask)
-            self.yes.update(w for w, ok in zip(ask, (self.bits[p >> 3] >> (p & 7) & 1).all(1), strict=True) if ok and len(w) > 1)
+            self.yes.update(w for w, ok in zip(ask, may_be_in(self.bits, ask), strict=True) if ok and len(w) > 1)
             self.asked |= new
         return here & self.yes
 
@@ -212,18 +228,19 @@ def name_spans(low: str, terms: TermFilter) -> list[tuple[int, int, str, str | N
     return out
 
 
-def _model(src: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """(disclosing terms, their filter, log odds of the words near long digit runs for an identity number)."""
+def _model(src: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame, DataFrame]:
+    """(terms that disclose names, their filter, terms that disclose addresses, log odds of the words near long digit runs for an identity number)."""
     texts = src.select("text").distinct()  # copies of a text say nothing new about its words
-    counts = arrow_map(texts, _counts, "term string, cue string, n bigint, a bigint, r bigint, i bigint")
-    by_cue = counts.groupBy("term", "cue").agg(*[F.sum(c).alias(c) for c in "nari"])
-    sums = by_cue.groupBy("term").agg(*[F.sum(c).alias(c) for c in "nari"], F.max("a").alias("of_one_cue")).persist()
+    counts = arrow_map(texts, _counts, "term string, cue string, n bigint, a bigint, r bigint, i bigint, s bigint")
+    by_cue = counts.groupBy("term", "cue").agg(*[F.sum(c).alias(c) for c in "naris"])
+    sums = by_cue.groupBy("term").agg(*[F.sum(c).alias(c) for c in "naris"], F.max("a").alias("of_one_cue"))
+    sums = cut_lineage(sums.where("a > 0 OR r > 0 OR s > 0"))  # the other terms disclose nothing
     # A word of one cue that mostly stands outside protected places is part of a phrase, however often the cue brings it along.
     phrase = (F.col("of_one_cue") >= PHRASE_CUE * F.col("a")) & (F.col("n") - 2 * F.col("a") > PHRASE_DEVIATIONS * F.sqrt("n"))
-    sums = sums.withColumn("a", F.when(phrase, 0).otherwise(F.col("a")))
-    strong = sums.where(f"(a + {PRIOR_HITS}) / (n + {PRIOR_ALL}) >= {DISCLOSURE} AND a > 0").select("term")
+    discloses = lambda c: f"{c} > 0 AND ({c} + {PRIOR_HITS}) / (n + {PRIOR_ALL}) >= {DISCLOSURE}"
+    strong = sums.withColumn("a", F.when(phrase, 0).otherwise(F.col("a"))).where(discloses("a")).select("term")
     odds = sums.where("r > 0").select("term", F.expr("ln((i + 0.5) / (r - i + 0.5))").alias("odds"))
-    return strong, bloom_bits(strong, "term"), odds
+    return strong, bloom_bits(strong, "term"), sums.where(discloses("s")).select("term"), odds
 
 
 def findings(texts: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
@@ -233,8 +250,8 @@ def findings(texts: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     none. Columns besides those named are ignored.
     """
     src = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    strong, filled, odds = _model(src)
-    shared = src.sparkSession.sparkContext.broadcast(filled.tobytes())  # 1 MiB, whatever the corpus
+    strong, filled, streets, odds = _model(src)
+    shared = src.sparkSession.sparkContext.broadcast(filled.tobytes())  # at most MOST_BITS bits, whatever the corpus
     held: dict[str, TermFilter] = {}
 
     def run(b: pa.RecordBatch) -> dict:
@@ -250,14 +267,17 @@ def findings(texts: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     kind = src.schema["id"].dataType.simpleString()
     found = cut_lineage(arrow_map(src, run, f"id {kind}, kind string, start int, end int, w1 string, w2 string, words array<string>, over int"))
     found = found.dropDuplicates(["id", "kind", "start", "end"])
-    # The filter lets a few other terms through; the exact terms decide.
-    named = found.where("kind = 'name'").join(strong.withColumnRenamed("term", "w1"), "w1", "left_semi")
-    named = named.where("w2 IS NULL").unionByName(named.where("w2 IS NOT NULL").join(strong.withColumnRenamed("term", "w2"), "w2", "left_semi"))
+    # The filter lets a few other terms through; the exact terms decide. All joins are shuffled, as the sizes of what
+    # Python gives are not known.
+    exact = lambda df, col, terms: df.join(terms.withColumnRenamed("term", col).hint("merge"), col, "left_semi")
+    named = exact(found.where("kind = 'name'"), "w1", strong)
+    named = named.where("w2 IS NULL").unionByName(exact(named.where("w2 IS NOT NULL"), "w2", strong))
+    lived = exact(found.where("kind = 'address'").withColumn("w1", F.explode("words")), "w1", streets).dropDuplicates(["id", "start", "end"])
     # Every word around a run has its odds, however rare it is.
-    asked = found.where("kind = 'run'").select("id", "start", "end", F.explode("words").alias("term")).join(odds, "term")
+    asked = found.where("kind = 'run'").select("id", "start", "end", F.explode("words").alias("term")).join(odds.hint("merge"), "term")
     numbers = asked.groupBy("id", "start", "end").agg(F.sum("odds").alias("odds")).where("odds > 0").select("id", F.lit("id_number").alias("kind"), "start", "end")
-    own = found.where("kind NOT IN ('name', 'run')")
-    under = own.where("over IS NOT NULL").alias("u").join(numbers.alias("n"), F.expr("u.id <=> n.id AND u.over = n.start"), "left_anti")
+    own = found.where("kind NOT IN ('name', 'run', 'address')").unionByName(lived.select(found.columns))
+    under = own.where("over IS NOT NULL").alias("u").join(numbers.hint("merge").alias("n"), F.expr("u.id <=> n.id AND u.over = n.start"), "left_anti")
     parts = [own.where("over IS NULL"), under, named, numbers]
     return functools.reduce(DataFrame.unionByName, [p.select("id", "kind", "start", "end") for p in parts]).withColumnRenamed("id", id_col)
 
@@ -268,7 +288,7 @@ def redact(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     One row per distinct id; nothing else of the text changes. A null text stays null.
     """
     hits = findings(texts, id_col, text_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias("hits"))
-    rows = texts.select(id_col, F.col(text_col).alias("text")).dropDuplicates([id_col]).join(hits, id_col, "left")
+    rows = texts.select(id_col, F.col(text_col).alias("text")).dropDuplicates([id_col]).join(hits.hint("merge"), id_col, "left")
     step = """aggregate(coalesce(hits, array()), struct('' AS o, 0 AS at, 0 AS n),
       (s, h) -> CASE WHEN h.start < s.at THEN s ELSE struct(concat(s.o, substring(text, s.at + 1, h.start - s.at), '[', upper(h.kind), ']') AS o, -h.back AS at, s.n + 1 AS n) END)"""
     done = rows.withColumn("s", F.expr(step))

@@ -155,7 +155,7 @@ def similar_pairs(signatures: DataFrame, src: DataFrame) -> DataFrame:
     near = cut_lineage(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     # The words of the classes that are left, one text for each.
     wanted = near.select(F.col("u").alias("set_id")).union(near.select("v")).distinct()
-    one = _joined(signatures, wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id"))
+    one = cut_lineage(_joined(signatures, wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id")))
     chosen = _joined(bloom_keep(src, "id", one), one, "id").dropDuplicates(["set_id"])
     words = arrow_map(chosen.select("set_id", "text"), lambda b: {"set_id": b.column("set_id"), "bag": bags(b.column("text").to_pylist())}, "set_id binary, bag array<bigint>")
     both = _joined(_joined(near, words.select(F.col("set_id").alias("u"), F.col("bag").alias("a")), "u"), words.select(F.col("set_id").alias("v"), F.col("bag").alias("b")), "v")
