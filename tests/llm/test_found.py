@@ -113,7 +113,7 @@ def test_p3_hot_names_and_phrases(spark):
 
 
 def test_p3_ordinary_words_in_the_form_of_an_address(spark):
-    rows = [(f"way{i}", f"Mohon kirim ongkos jalan paling lambat 1{i % 9} maret.") for i in range(30)] + [(f"late{i}", f"Balasan paling lambat besok, bagian {i}.") for i in range(120)]
+    rows = [(f"way{i}", f"Mohon kirim ongkos jalan paling lambat 1{i % 9} maret.") for i in range(30)] + [(f"late{i}", f"Balasan paling lambat besok, di jalan dari Marl, bagian {i}.") for i in range(120)]
     rows += [(f"road{i}", f"On the road from Marl, part {i}.") for i in range(60)] + [("home", "Saya tinggal di jalan Wirantaka 12."), ("lane", "I live at 7 Fennshaw Road.")]
     assert {(r.id, r.kind) for r in p3.findings(texts(spark, rows), "id", "text").collect()} == {("home", "address"), ("lane", "address")}
 
