@@ -1,12 +1,13 @@
 """Problem 2: texts that were cut before they ended.
 
-A stack automaton reads the structure of each text: quotes, brackets and markup that stay open, a broken
-multibyte character, a broken escape, a missing terminator. Texts that end properly are finished. For the
-others the corpus says whether a sentence can end here:
+A stack automaton reads the structure of each text from its start: quotes, brackets and markup that stay open, a
+broken multibyte character, a broken escape or tag at the end, a missing terminator. What is broken is cut; what
+ends properly is finished. For the texts that only lack a terminator the corpus says whether a sentence can end here:
 
 * inside a word: the last word never occurs as a whole word, but other words begin with it;
 * inside a sentence: the words before the end, rare ones and numbers masked, hardly ever precede a
-  terminator elsewhere (a back-off estimate over the last one to five tokens);
+  terminator elsewhere (a back-off estimate over the last one to five tokens), against a bar that each source sets:
+  where terminators are missing more often than elsewhere, a missing one says less;
 * at a field limit of the source: lengths at which texts of a source pile up make a cut the likelier reading.
 
 All counts are over all texts. The automaton's verdict goes per source into a rate of cut texts.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -30,14 +32,20 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/\-]\d+)*|[^\w\s]")
 TERMINATORS = frozenset(".!?。！？")
 #: Marks that may follow a sentence without ending it.
 SMILEY = re.compile(r"[:;=][-']?[()DPp/|]+\s*$")
+SMILEY_EYES = re.compile(r"[:;=][-']?$")
 #: Marks after which a sentence goes on; all others may follow its last word.
 GOES_ON = frozenset(",;:&<>-/\"“«[{%€$£+=#@")
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
+#: Tags that need no end.
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr p li".split())
 ORDERS = (1, 2, 3, 5)
-#: Words kept as they are in contexts; the others share one mask.
-KEPT_WORDS = 1500
+#: Words of at least this share of all words are kept as they are in contexts, so at most 1 / KEPT_SHARE; the others share one mask.
+KEPT_SHARE = 1e-4
 #: Below this chance of a sentence end the text is cut: anywhere, a few characters below a field limit, at a field limit.
 END_CHANCE, END_CHANCE_NEAR_LIMIT, END_CHANCE_AT_LIMIT = 0.02, 0.06, 0.60
+#: The bar of a source moves with its share of texts without a terminator against that of all, by this factor at most;
+#: texts at the share of all that its own are smoothed with.
+BASELINE_FACTOR, BASELINE_TEXTS = 1.15, 50
 #: A cut moved back to the last word boundary lies at most so far below the limit.
 NEAR = 15
 #: Strength of the shorter context's estimate, in counts.
@@ -47,38 +55,68 @@ BACKOFF = 2.0
 LIMIT_COUNT, LIMIT_PEAK, LIMIT_SPAN, LIMIT_SIGMA = 5, 4.0, 30, 6.0
 #: "Rp 1." may be a finished sentence or an amount cut inside its groups of three.
 AMOUNT_CUT = re.compile(r"(?i:rp|idr|usd|eur|[€$£]) ?\d{1,3}[.]$")
-ESCAPES = frozenset("&\\%<")
-MARKS = re.compile(r"[()\[\]{}“”«»„]")
+#: Characters at which the stack can change.
+MARKS = re.compile(r"""[()\[\]{}“”«»„"<]""")
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:\-]*)([^<>]*)>")
 WORD = re.compile(r"[^\W\d_]+")
-BROKEN_ESCAPE = re.compile(r"(?:&#?\w{0,8}|\\u?[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%[0-9a-fA-F]?|<[/!]?[a-zA-Z][^<>]{0,200}|<[/!]?)$")
+#: Escapes that end with the text; none is longer than the tail that is looked at.
+BROKEN_ESCAPE, ESCAPE_TAIL = re.compile(r"(?:&#?\w{0,8}|\\u?[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%[0-9a-fA-F]?)$"), 12
+#: A tag that the end of the text leaves open, of any length.
+BROKEN_TAG = re.compile(r"<[/!]?(?:[a-zA-Z][^<>]*)?$")
 MASK, NUMBER, STOP = 0, 1, 2
 
 
 def automaton(text: str) -> str | None:
-    """'finished', 'broken' (a cut shows in the characters) or None (the end is open)."""
+    """'finished', 'broken' (a cut shows in the characters) or None (only the terminator is missing)."""
     t = text.rstrip()
     if not t:
         return "finished"
-    end = t[-210:]
-    if t.endswith("�") or not ESCAPES.isdisjoint(end) and BROKEN_ESCAPE.search(end):
+    if t.endswith("�") or BROKEN_ESCAPE.search(t, max(0, len(t) - ESCAPE_TAIL)) or (at := t.rfind("<")) >= 0 and BROKEN_TAG.match(t, at):
+        return "broken"
+    if open_marks(t):
         return "broken"
     bare = bare_end(t)
-    ended = bool(TERMINATORS.intersection(t[len(bare) :])) and not t[len(bare) :].lstrip().startswith((".." , "…"))
-    if ended and not AMOUNT_CUT.search(t[-12:]):
-        return "finished"
-    return "broken" if open_marks(t) else None
+    marks = t[len(bare) :]
+    if SMILEY.search(marks) or any(unicodedata.category(c) == "So" for c in marks):
+        return "finished"  # who sets a smiley has come to the end
+    ended = bool(TERMINATORS.intersection(marks)) and not marks.lstrip().startswith((".." , "…"))
+    return "finished" if ended and not AMOUNT_CUT.search(t, max(0, len(t) - 12)) else None
 
 
 def open_marks(t: str) -> bool:
-    """Whether the stack of brackets and quotes holds something at the end that is not part of a smiley."""
+    """Whether the stack of brackets, quotes and tags holds something at the end.
+
+    Brackets of smileys, list marks such as "a)" and inch marks are none of these; a mark that closes something
+    further down the stack closes what stands above it too.
+    """
     stack: list[str] = []
     for m in MARKS.finditer(t):
-        c = m[0]
-        if stack and stack[-1] == c and c != "“":
-            stack.pop()
-        elif c in PAIRS and not t[max(0, m.start() - 1) : m.start()] in (":", ";", "=", "-"):
+        c, i = m[0], m.start()
+        if c == "<":
+            if tag := TAG.match(t, i):
+                name = f"<{tag[2].lower()}"
+                if tag[1]:
+                    _close(stack, name)
+                elif not tag[3].endswith("/") and name[1:] not in VOID_TAGS:
+                    stack.append(name)
+        elif c == '"':
+            if '"' in stack:
+                _close(stack, '"')
+            elif not t[i - 1 : i].isalnum() and t[i + 1 : i + 2].strip():
+                stack.append('"')
+        elif SMILEY_EYES.search(t, max(0, i - 2), i):
+            continue
+        elif c in stack:
+            _close(stack, c)
+        elif c in PAIRS:
             stack.append(PAIRS[c])
-    return bool(stack) and stack != [")"]
+    return bool(stack)
+
+
+def _close(stack: list[str], mark: str) -> None:
+    if mark in stack:
+        while stack.pop() != mark:
+            pass
 
 
 def bare_end(t: str) -> str:
@@ -99,9 +137,15 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(html.unescape(text).lower())
 
 
-def open_tail(text: str) -> list[str]:
-    """Tokens of a text with an open end, without marks behind the last word."""
-    return tokens(bare_end(text.rstrip()))
+def open_tail(text: str, n: int | None = None) -> list[str]:
+    """Tokens of a text with an open end, without marks behind the last word; all or the last n."""
+    t = bare_end(text.rstrip())
+    if n is None:
+        return tokens(t)
+    size = 200
+    while size < len(t) and len(got := tokens(t[-size:])) <= n + 1:  # the first of them may be a part
+        size *= 4
+    return (got if size < len(t) else tokens(t))[-n:]
 
 
 def _vocabulary(b: pa.RecordBatch) -> dict:
@@ -146,7 +190,8 @@ def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) ->
     src = texts.where(F.col(text_col).rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     words = arrow_map(src.select("text"), _vocabulary, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = cut_lineage(words)
-    kept = {r.word: 10 + i for i, r in enumerate(words.orderBy(F.desc("n"), "word").limit(KEPT_WORDS).collect())}
+    least = KEPT_SHARE * (words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    kept = {r.word: 10 + i for i, r in enumerate(words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect())}  # at most 1 / KEPT_SHARE words
 
     def contexts(b: pa.RecordBatch) -> dict:
         rows = b.column("text").to_pylist()
@@ -173,8 +218,7 @@ def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) ->
     def judge(b: pa.RecordBatch) -> dict:
         rows = b.column("text").to_pylist()
         how = [automaton(t) for t in rows]
-        # a long tail holds the last tokens of the whole text; a token that begins before it is never among them
-        tails = [open_tail(t[-1500:])[-max(ORDERS) :] if v is None else [] for t, v in zip(rows, how, strict=True)]
+        tails = [open_tail(t, max(ORDERS)) if v is None else [] for t, v in zip(rows, how, strict=True)]
         hs = []
         for ws in tails:
             flat, _ = _encode([ws], kept)
@@ -193,15 +237,29 @@ def truncation(texts: DataFrame, id_col: str, text_col: str, source_col: str) ->
     open_ = judged.where("how IS NULL")
     last = open_.where("word IS NOT NULL").select("word").distinct()
     longer = words.select("n", F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, 1, i))")).alias("word")).groupBy("word").agg(F.sum("n").alias("n_longer"))
-    known = last.join(words, "word", "left").join(longer, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n_word"), F.coalesce("n_longer", F.lit(0)).alias("n_longer"))
-    chance = open_.select("id", F.posexplode("hs").alias("k", "h")).join(seen, "h", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("e", F.lit(0)).alias("e")))).alias("ctx"))
+    known = last.join(words.hint("merge"), "word", "left").join(longer.hint("merge"), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n_word"), F.coalesce("n_longer", F.lit(0)).alias("n_longer"))
+    chance = open_.select("id", F.posexplode("hs").alias("k", "h")).join(seen.hint("merge"), "h", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("e", F.lit(0)).alias("e")))).alias("ctx"))
     chance = chance.select("id", F.expr(f"aggregate(ctx, CAST(0.1 AS DOUBLE), (p, x) -> (x.e + {BACKOFF} * p) / (x.n + {BACKOFF}))").alias("end_chance"))
-    near = judged.join(at_limit, F.col("source").eqNullSafe(F.col("s")) & (F.col("n_chars") == F.col("nc")), "left")
-    full = near.join(known, "word", "left").join(chance, "id", "left")
-    in_word = F.col("how").isNull() & F.col("word").isNotNull() & (F.col("n_word") == 0) & (F.col("n_longer") >= 2)
-    in_sentence = F.col("how").isNull() & (F.col("end_chance") < F.coalesce("least", F.lit(END_CHANCE)))
-    verdict = F.when(F.col("how").isNotNull(), F.col("how")).when(in_word, "in_word").when(in_sentence, "in_sentence").otherwise("open_but_whole")
-    return full.withColumn("verdict", verdict).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_chars", "verdict", F.round("end_chance", 6).alias("end_chance"), F.col("verdict").isin("broken", "in_word", "in_sentence").alias("is_cut"))
+    # Only open texts are joined: the others have no word and no context, and would all meet in one task. All joins are
+    # shuffled, as the sizes of what Python and explode give are not known.
+    near = open_.join(at_limit.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("n_chars") == F.col("nc")), "left")
+    full = near.join(known.hint("merge"), "word", "left").join(chance.hint("merge"), "id", "left")
+    full = full.join(_baselines(judged).hint("merge"), F.col("source").eqNullSafe(F.col("of")), "left")
+    in_word = F.col("word").isNotNull() & (F.col("n_word") == 0) & (F.col("n_longer") >= 2)
+    in_sentence = F.col("end_chance") < F.coalesce("least", F.col("bar"))
+    verdict = F.when(in_word, "in_word").when(in_sentence, "in_sentence").otherwise("open_but_whole")
+    names = ("id", "source", "n_chars", "verdict", "end_chance")
+    full = full.withColumn("verdict", verdict).select(*names).unionByName(judged.where("how IS NOT NULL").select("id", "source", "n_chars", F.col("how").alias("verdict"), F.lit(None).cast("double").alias("end_chance")))
+    return full.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_chars", "verdict", F.round("end_chance", 6).alias("end_chance"), F.col("verdict").isin("broken", "in_word", "in_sentence").alias("is_cut"))
+
+
+def _baselines(judged: DataFrame) -> DataFrame:
+    """(of, bar): the chance of a sentence end below which a text of the source is cut, by how usual missing terminators are in it."""
+    per = judged.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("how").isNull()).alias("m"))
+    all_ = per.agg((F.sum("m") / F.sum("n")).alias("usual"))  # one row
+    share = (F.col("m") + BASELINE_TEXTS * F.col("usual")) / (F.col("n") + BASELINE_TEXTS)
+    factor = F.when(share > 0, F.greatest(F.lit(1 / BASELINE_FACTOR), F.least(F.lit(BASELINE_FACTOR), F.col("usual") / share))).otherwise(1.0)
+    return per.crossJoin(F.broadcast(all_)).select("of", (END_CHANCE * factor).alias("bar"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
