@@ -58,6 +58,9 @@ PASSPORT_LEFT = re.compile(r"(?<![\w./\-])[a-z] ?$")
 DATE = re.compile(r"\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4}")
 LONG_RUN = re.compile(r"(?<![\w./\-])\d(?:[ ]?\d){13,19}(?!\w)")
 RUN = re.compile(r"\d[\d.\- ]{4,22}\d")
+#: What any of the patterns of digits lies in, with the least number of digits of one, and how far around it they look.
+DIGITS, LEAST_DIGITS, BEFORE_DIGITS, AFTER_DIGITS = re.compile(r"\d[\d.\-()/\s]{4,}\d"), 6, 8, 4
+DAY = re.compile(r"[12]\d{3}-\d\d-\d\d")
 ID_LEFT = re.compile(rf"\b(?:{ID_CUES})\b[\s:.#]*(?:(?:is|ist|adalah|saya|est|es|no|nr|nummer|number|nomor|número|numéro)\b[\s:.#]*){{0,3}}[a-z]{{0,2}}[ \-]?$")
 PHONE = re.compile(r"(?:\+\d{1,3}|\(\+?\d{1,4}\)|(?<![\w./:\-])(?:0|62[\s.\-]))(?:[\s.\-]?\d){6,13}(?![\w]|[\-/.]\d)|(?<![\w./:\-])\d{3}-\d{4}(?![\w]|[\-/.]\d)")
 NUMBERED = r"(?:street|st|road|rd|lane|ave|avenue|drive|court|close)"
@@ -87,6 +90,19 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+def windows(low: str) -> list[tuple[int, int]]:
+    """Disjoint stretches of a text outside of which no pattern of digits can match."""
+    out: list[tuple[int, int]] = []
+    for m in DIGITS.finditer(low):
+        if DAY.fullmatch(m[0]) or sum(map(str.isdigit, m[0])) < LEAST_DIGITS:
+            continue
+        a, b = max(0, m.start() - BEFORE_DIGITS), m.end() + AFTER_DIGITS
+        if out and a < out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
+
+
 def structural(low: str) -> Iterator[tuple[str, int, int, list[str] | None, int | None]]:
     """(kind, start, end, words, over) of what has a form of its own; spans do not overlap.
 
@@ -109,24 +125,25 @@ def structural(low: str) -> Iterator[tuple[str, int, int, list[str] | None, int
         for m in EMAIL.finditer(low):
             if free(*m.span()):
                 yield "email", *m.span(), None, None
-    for m in ID_SHAPE.finditer(low):
-        if free(*m.span()):
-            yield "id_number", *m.span(), None, None
-    for m in SEVEN.finditer(low):
-        if (left := PASSPORT_LEFT.search(low, max(0, m.start() - 3), m.start())) and free(left.start(), m.end()):
-            yield "id_number", left.start(), m.end(), None, None
-    for m in RUN.finditer(low):
-        if sum(c.isdigit() for c in m[0]) < 6 or DATE.fullmatch(m[0]):
-            continue
-        if (left := ID_LEFT.search(low, max(0, m.start() - 50), m.start())) and free(*m.span()):
-            yield "id_number", *m.span(), None, None
-    for m in LONG_RUN.finditer(low):
-        if not any(m.start() < y and x < m.end() for x, y in taken):
-            runs.append(m.span())
-            yield "run", *m.span(), sorted(set(near(low, *m.span()))), None
-    for m in PHONE.finditer(low):
-        if free(*m.span()):
-            yield "phone", *m.span(), None, over(*m.span())
+    for w in windows(low):
+        for m in ID_SHAPE.finditer(low, *w):
+            if free(*m.span()):
+                yield "id_number", *m.span(), None, None
+        for m in SEVEN.finditer(low, *w):
+            if (left := PASSPORT_LEFT.search(low, max(0, m.start() - 3), m.start())) and free(left.start(), m.end()):
+                yield "id_number", left.start(), m.end(), None, None
+        for m in RUN.finditer(low, *w):
+            if sum(c.isdigit() for c in m[0]) < LEAST_DIGITS or DATE.fullmatch(m[0]):
+                continue
+            if (left := ID_LEFT.search(low, max(0, m.start() - 50), m.start())) and free(*m.span()):
+                yield "id_number", *m.span(), None, None
+        for m in LONG_RUN.finditer(low, *w):
+            if not any(m.start() < y and x < m.end() for x, y in taken):
+                runs.append(m.span())
+                yield "run", *m.span(), sorted(set(near(low, *m.span()))), None
+        for m in PHONE.finditer(low, *w):
+            if free(*m.span()):
+                yield "phone", *m.span(), None, over(*m.span())
     for words, pattern in ADDRESSES:
         if any(w in low for w in words):
             for m in pattern.finditer(low):
@@ -168,12 +185,13 @@ def _counts(b: pa.RecordBatch) -> dict:
             for m in RIGHT.finditer(low):
                 if left := BEFORE.search(low, max(0, m.start() - 60), m.start()):
                     a.update((m["cue"], w) for w in left.groups() if w not in CUE_WORDS)
-        for m in ID_SHAPE.finditer(low):
-            ws = set(near(low, *m.span()))
-            ids.update(ws)
-            runs.update(ws)
-        for m in LONG_RUN.finditer(low):
-            runs.update(set(near(low, *m.span())))
+        for win in windows(low):
+            for m in ID_SHAPE.finditer(low, *win):
+                ws = set(near(low, *m.span()))
+                ids.update(ws)
+                runs.update(ws)
+            for m in LONG_RUN.finditer(low, *win):
+                runs.update(set(near(low, *m.span())))
     ws, hits = list(n), list(a)
     none = [0] * len(hits)
     return {
