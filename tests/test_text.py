@@ -37,7 +37,7 @@ def test_filename(spark):
     assert one(spark, text.safe_filename("v"), None) == "branch_unknown"
 
 
-@pytest.mark.parametrize(("given", "want"), [("English", "en"), (" ID ", "id"), ("fr", "fr"), ("f1", None), (None, None), ("klingon", None)])
+@pytest.mark.parametrize(("given", "want"), [("English", "en"), (" ID ", "id"), ("fr", "fr"), ("f1", None), (None, "en"), ("", "en"), ("  ", None), ("in", "id"), ("ind", None), ("eng", None), ("klingon", None)])
 def test_language(spark, given, want):
     assert one(spark, text.language_code("v"), given) == want
 
@@ -51,7 +51,7 @@ def test_json_readers():
     assert text.salvage("```JSON\n{\"a\": 1}\n```") == {"a": 1}
     assert text.salvage('well {"a": "b"} so') == {"a": "b"}
     assert text.salvage("") == {} and text.salvage(None) == {}
-    assert text.salvage("none") is None
+    assert text.salvage("none") is None and text.salvage('{"a": 1} so') is None
     assert text.prefix_object('﻿```json\n{"a": 1} {"b": 2}') == {"a": 1}
     assert text.prefix_object("[1]") is None
 
@@ -84,6 +84,30 @@ def test_violations(spark):
 
 
 def test_states_and_nps(spark):
-    us = [0.0, 0.15, 0.4, 0.75, 0.9, 0.96]
-    assert [one(spark, dialogue.state(F.col("v")), u, "double") for u in us] == ["open", "in_progress", "resolved", "closed", "escalated", "closed"]
+    us = [0.0, 0.15, 0.151, 0.4, 0.75, 0.9, 0.95, 0.96]
+    assert [one(spark, dialogue.state(F.col("v")), u, "double") for u in us] == ["open", "open", "in_progress", "in_progress", "resolved", "closed", "escalated", "closed"]
     assert [one(spark, dialogue.nps_segment(F.col("v")), n, "int") for n in (10, 8, 6, None)] == ["promoter", "passive", "detractor", None]
+
+
+def test_dates_counts_and_paths(spark):
+    assert [one(spark, text.iso_date("v").cast("string"), v) for v in ("2026-02-03", " 2026-02-03T04:05:06+07:00 ", "20260203", "", None)] == ["2026-02-03"] * 3 + [None, None]
+    assert one(spark, text.iso_date("v", strict=False), "3 May") is None
+    with pytest.raises(Exception, match="no ISO date"):
+        one(spark, text.iso_date("v"), "2026-13-40")
+    assert [one(spark, text.whole_number("v"), v) for v in ("7", "7.9", "many", None)] == [7, 7, None, None]
+    assert one(spark, text.relative_path("v", F.lit("/a/b/")), "/a/b/c/d.txt") == "c/d.txt" and one(spark, text.relative_path("v", F.lit("/a/x")), "/a/b/c") == "/a/b/c"
+    with pytest.raises(Exception, match="start lies after"):
+        spark.range(1).select(dialogue.date_range(F.lit("2026-02-01").cast("date"), F.lit("2026-01-01").cast("date"))[0]).collect()
+
+
+def test_timestamps(spark):
+    df = spark.range(400).select(*[c.alias(f"c{i}") for i, c in enumerate((*dialogue.timestamps(F.col("id")), *dialogue.timestamps(F.col("id"), "Z", F.lit("2026-05-06").cast("date"))))])
+    rows = df.collect()
+    assert all(r.c1 is None or r.c1 >= r.c0 for r in rows) and all(8 <= int(r.c0[11:13]) <= 18 and r.c0.endswith("+07:00") and r.c0 < "2026-12-29" for r in rows)
+    assert all(r.c2[:10] == "2026-05-06" and (r.c3 is None or r.c2 <= r.c3 < "2026-05-07") for r in rows)
+    assert 0.25 < sum(r.c1 is None for r in rows) / 400 < 0.45
+
+
+def test_padding_varies(spark):
+    got = one(spark, text.pad("v", 200, ["one two.", "three.", "four five six."], F.lit(3)), "x")
+    assert len(got) == 200 and all(p in got for p in ("one two.", "three.", "four five six."))

@@ -52,7 +52,7 @@ def state(u: Column) -> Column:
     out, run = None, 0.0
     for name, w in STATES:
         run = round(run + w, 6)
-        out = F.when(u < run, name) if out is None else out.when(u < run, name)
+        out = F.when(u <= run, name) if out is None else out.when(u <= run, name)
     return out.otherwise("closed")
 
 
@@ -62,10 +62,30 @@ def uniform(*parts: Column) -> Column:
 
 
 def date_range(start: Column, end: Column) -> tuple[Column, Column]:
-    """Both given as they are, one missing 365 days away, none the year 2026."""
+    """Both given as they are, one missing 365 days away, none the year 2026; a start after its end is an error at run time."""
     a = F.when(start.isNull() & end.isNull(), F.lit("2026-01-01").cast("date")).otherwise(F.coalesce(start, F.date_sub(end, 365)))
     b = F.when(start.isNull() & end.isNull(), F.lit("2026-12-31").cast("date")).otherwise(F.coalesce(end, F.date_add(start, 365)))
-    return a, b
+    return F.when(a > b, F.raise_error("the start lies after the end").cast("date")).otherwise(a), b
+
+
+def timestamps(seed: Column, timezone: str = "+07:00", day: Column | None = None, year: int = 2026) -> tuple[Column, Column]:
+    """(created, updated) as ISO text, drawn by the seed; updated is null for 35 of 100 and never earlier.
+
+    With a `day` both lie on it, at any time. Without, created lies on one of the first 28 days of a month of the
+    year in office hours, 8 to 18, and updated up to 72 hours later.
+    """
+    u = lambda what: uniform(seed, F.lit(what))
+    n = lambda what, lo, hi: (F.lit(lo) + F.floor(u(what) * (F.lit(hi) - F.lit(lo) + 1))).cast("int")
+    text = lambda t: F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(timezone))
+    plus = lambda t, s: F.timestamp_seconds(F.unix_timestamp(t) + s)
+    if day is None:
+        created = F.make_timestamp(F.lit(year), n("month", 1, 12), n("day", 1, 28), n("hour", 8, 18), n("minute", 0, 59), n("second", 0, 59))
+        updated = plus(created, n("later", 1, 72) * 3600)
+    else:
+        at = n("second", 0, 86_399)
+        created = plus(day.cast("timestamp"), at)
+        updated = plus(created, F.floor(u("later") * (F.lit(86_400) - at)).cast("int"))
+    return text(created), F.when(u("open") >= 0.35, text(updated))
 
 
 def nps_segment(score: Column) -> Column:

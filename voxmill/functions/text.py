@@ -53,11 +53,12 @@ def clamp(c: Column | str, most: int) -> Column:
 
 
 def pad(c: Column | str, least: int, phrases: list[str], seed: Column) -> Column:
-    """Text shorter than `least` gets stock phrases, picked by the seed, until it is long enough; then the filler is cut to fit."""
+    """Text shorter than `least` gets stock phrases, each picked anew by the seed, until it is long enough; then the filler is cut to fit."""
     if not phrases:
         return col(c)
-    pick = F.element_at(F.array(*map(F.lit, phrases)), (F.pmod(F.xxhash64(seed), F.lit(len(phrases))) + 1).cast("int"))
-    filler = F.repeat(F.concat(F.lit(" "), pick), least // min(len(p) + 1 for p in phrases) + 1)
+    turns = least // min(len(p) + 1 for p in phrases) + 1
+    pick = lambda k: F.element_at(F.array(*map(F.lit, phrases)), (F.pmod(F.xxhash64(seed, k), F.lit(len(phrases))) + 1).cast("int"))
+    filler = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(turns)), lambda k: F.concat(F.lit(" "), pick(k))), "")
     return F.when(F.length(col(c)) < least, F.concat(col(c), F.substring(filler, F.lit(1), F.lit(least) - F.length(col(c))))).otherwise(col(c))
 
 
@@ -72,9 +73,30 @@ def safe_filename(c: Column | str, empty: str = "branch_unknown") -> Column:
 
 
 def language_code(c: Column | str) -> Column:
-    """en and id from their usual names, any two letters as they are, else null."""
-    x = F.lower(ustrip(c))
-    return F.when(x.isin("en", "english", "eng"), "en").when(x.isin("id", "indonesian", "bahasa", "bahasa indonesia", "ind"), "id").when(x.rlike(r"^\p{L}{2}$"), x)
+    """en and id from their usual names, any two letters as they are, en for null and empty text, null for what names no language."""
+    x = F.lower(ustrip(F.coalesce(F.nullif(col(c), F.lit("")), F.lit("en"))))
+    return F.when(x.isin("en", "english"), "en").when(x.isin("id", "indonesian", "bahasa", "bahasa indonesia", "in"), "id").when(x.rlike(r"^\p{L}{2}$"), x)
+
+
+def iso_date(c: Column | str, strict: bool = True) -> Column:
+    """A date, timestamp or ISO text as a date; null and blank text null. Other text is an error at run time, or null if not strict."""
+    t = blank_to_null(col(c).cast("string"))
+    day = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})(?:[ T].*)?$", 1)
+    plain = F.regexp_replace(F.regexp_extract(t, r"^(\d{8})$", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    got = F.coalesce(F.try_to_date(F.nullif(day, F.lit(""))), F.try_to_date(F.nullif(plain, F.lit(""))))
+    return F.when(t.isNotNull() & got.isNull(), F.raise_error(F.concat(F.lit("no ISO date: "), t)).cast("date")).otherwise(got) if strict else got
+
+
+def whole_number(c: Column | str) -> Column:
+    """A count as a whole number, towards zero; null for what is no number."""
+    return col(c).try_cast("double").try_cast("bigint")
+
+
+def relative_path(path: Column | str, folder: Column | str) -> Column:
+    """A path below a folder, with slashes; a path elsewhere as it is."""
+    p, f = (F.regexp_replace(col(x), r"\\\\", "/") for x in (path, folder))
+    f = F.concat(F.regexp_replace(f, "/+$", ""), F.lit("/"))
+    return F.when(F.startswith(p, f), F.substr(p, F.length(f) + 1)).otherwise(p)
 
 
 def branch_code(region: Column | str, index: Column | str) -> Column:
@@ -97,17 +119,19 @@ def markdown_header(name: str) -> str:
 
 
 def salvage(text: str | None) -> dict | None:
-    """The JSON object in a model's answer: from a code fence, else from the first to the last brace; {} for nothing, None for a broken one."""
+    """The JSON object in a model's answer: from a code fence, else all of it, else from the first to the last brace; {} for nothing, None for a broken one."""
     t = (text or "").strip()
     if not t:
         return {}
     fence = re.search(r"```(?:json)?\s*(.*?)```", t, re.S | re.I)
     t = fence[1].strip() if fence else t
-    a, b = t.find("{"), t.rfind("}")
-    if a < 0 or b <= a:
-        return None
+    if not t.startswith("{"):
+        a, b = t.find("{"), t.rfind("}")
+        if a < 0 or b <= a:
+            return None
+        t = t[a : b + 1]
     try:
-        got = json.loads(t[a : b + 1])
+        got = json.loads(t)
     except ValueError:
         return None
     return got if isinstance(got, dict) else None
@@ -137,30 +161,18 @@ def json_prefix(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if (d := prefix_object(t)) is None else json.dumps(d, ensure_ascii=False))
 
 
-@pandas_udf(T.StringType())
-def json_line_kind(s: pd.Series) -> pd.Series:
-    """'object', 'other' or 'bad' for a stripped line."""
-
-    def kind(t: str) -> str:
-        try:
-            return "object" if isinstance(json.loads(t), dict) else "other"
-        except (ValueError, TypeError):
-            return "bad"
-
-    return s.map(kind)
-
-
-@pandas_udf(T.StringType())
-def json_line_clean(s: pd.Series) -> pd.Series:
-    """A line's object written plainly: the last of equal keys, no NaN, nested values as JSON text."""
-
-    def clean(t: str | None) -> str | None:
-        try:
-            d = json.loads(t)
-        except (ValueError, TypeError):
-            return None
-        if not isinstance(d, dict):
-            return None
-        return json.dumps({k: json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else None if v != v else v for k, v in d.items()}, ensure_ascii=False)
-
-    return s.map(clean)
+def read_line(t: str | None) -> tuple[str, str | None]:
+    """('object', 'other' or 'bad') for a stripped line, and its object written plainly: the last of equal keys, no NaN, nested values as JSON text."""
+    try:
+        d = json.loads(t)
+    except (ValueError, TypeError):
+        return "bad", None
+    if not isinstance(d, dict):
+        return "other", None
+    plain = {k: json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else None if v != v else v for k, v in d.items()}
+    return "object", json.dumps(plain, ensure_ascii=False)
+
+
+@pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("clean", T.StringType())]))
+def json_line(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_line(t) for t in s], columns=["kind", "clean"])
