@@ -242,3 +242,14 @@ def hdbscan(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 10
 
     done = src.groupBy("g").applyInPandas(run, f"g {kinds['g']}, id {kinds['id']}, cluster int")
     return done.select(F.col("g").alias(group or "group"), F.col("id").alias(id_col), "cluster")
+
+
+def predict(new: DataFrame, clustered: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, cluster, similarity): for each new vector the cluster of the most similar row of `clustered` (id, vector, cluster).
+
+    Null and zero vectors have no row; an id may stand on both sides only with the same vector.
+    """
+    from voxmill.operators.vectors import knn
+
+    best = knn(clustered, 1, id_col, vec_col, queries=new)
+    return best.join(clustered.select(F.col(id_col).alias("neighbour"), "cluster"), "neighbour").select(F.col("id").alias(id_col), "cluster", "similarity")

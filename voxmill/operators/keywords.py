@@ -10,7 +10,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.functions.text import filled
+from voxmill.functions.text import filled, ustrip
 from voxmill.providers import Embedder, HashingEmbedder
 
 KEYWORDS = "cluster int, keywords string, cosine_similarities double"
@@ -24,22 +24,27 @@ def cluster_key():
     return F.col("cluster").cast("string")
 
 
-def blobs(docs: DataFrame, most: int, separator: str = SEPARATOR, id_col: str = "id", text_col: str = "document") -> DataFrame:
-    """(cluster, blob, n_documents): the non-blank texts of each cluster, in order of id, cut at `most` characters.
+def blobs(docs: DataFrame, most: int, separator: str = SEPARATOR, id_col: str = "id", text_col: str = "document", cut_mark: str = "", strip: bool = False) -> DataFrame:
+    """(cluster, blob, n_documents): the non-blank texts of each cluster, in order of id, cut at `most` characters; what was cut ends in `cut_mark`.
 
-    Before texts are gathered, those are left out before which the cluster already has `most` characters, by
-    running sums: first within SALTS parts of each cluster, in parallel, then over the few rows that are
-    left. So a cluster of any size is no hot group and gathers little more than `most`.
+    Which ids are needed is found from the lengths alone, by running sums within SALTS parts of each cluster and then
+    over the few rows that are left; only texts up to the last such id of their cluster are gathered. So a cluster of
+    any size is no hot group, and its other texts are never shuffled.
     """
-    kept = docs.where(filled(text_col)).select("cluster", F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    near = kept.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    t = ustrip(text_col) if strip else F.col(text_col)
+    kept = docs.where(filled(text_col)).select("cluster", F.col(id_col).alias("id"), t.alias("t"))
+    lengths = kept.select("cluster", "id", (F.length("t") + len(separator)).alias("n")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    near = lengths
     for part in (("cluster", "salt"), ("cluster",)):
         w = Window.partitionBy(*part).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-        near = near.withColumn("before", F.coalesce(F.sum(F.length("t") + len(separator)).over(w), F.lit(0))).where(F.col("before") < most)
-    near = near.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("id", F.substring("t", 1, most).alias("t")))).alias("r"))
-    counts = kept.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_documents"))
+        near = near.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < most)
+    last = near.groupBy("cluster").agg(F.max("id").alias("last"))
+    sizes = lengths.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n_documents"), (F.sum("n") - len(separator)).alias("n_chars"))
+    chosen = kept.join(last.withColumnRenamed("cluster", "c"), F.col("cluster").eqNullSafe(F.col("c")) & (F.col("id") <= F.col("last"))).drop("c", "last")
+    rows = chosen.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("id", F.substring("t", 1, most).alias("t")))).alias("r"))
     joined = F.substring(F.array_join(F.transform("r", lambda x: x["t"]), separator), 1, most)
-    return near.select("cluster", joined.alias("blob")).join(counts, "cluster")
+    blob = F.when(F.col("n_chars") > most, F.concat(joined, F.lit(cut_mark))).otherwise(joined)
+    return rows.join(sizes, F.col("cluster").eqNullSafe(F.col("c"))).select("cluster", blob.alias("blob"), "n_documents")
 
 
 def phrases(text: str, stop: frozenset[str], longest: int = 3) -> list[str]:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; two blocks and their products fit a Python worker of a few hundred MB.
-BLOCK_ROWS = 2048
+#: Rows of a block at most, and blocks for each task that can run at once; two blocks and their product fit a Python worker.
+BLOCK_ROWS, BLOCKS_PER_TASK = 2048, 2
+#: Rows of one matrix product.
+PRODUCT_ROWS = 512
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -64,41 +68,72 @@ def scaled(df: DataFrame, method: str, vec_col: str = "embedding") -> DataFrame:
     return with_stats.withColumn(vec_col, new).drop("stats")
 
 
+def _blocks(rows: DataFrame, parts: int, kind: str) -> DataFrame:
+    """(ids, vectors): rows (id, v) dealt into blocks by the hash of their id, vectors of unit length as bytes."""
+    out = rows.sparkSession.createDataFrame([], f"ids array<{kind}>, vectors binary").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(out)
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            for a in range(0, t.num_rows, BLOCK_ROWS):
+                c = t.slice(a, BLOCK_ROWS).combine_chunks()
+                x = np.asarray(c.column("v").combine_chunks().flatten(), np.float64).reshape(c.num_rows, -1)
+                x = x / np.linalg.norm(x, axis=1)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([c.column("id").to_pylist()], target.field(0).type), pa.array([x.tobytes()], pa.binary())], schema=target)
+
+    return rows.repartition(parts, F.xxhash64("id")).mapInArrow(run, out)
+
+
 def knn(df: DataFrame, k: int, id_col: str, vec_col: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
     """(id, neighbour, similarity, rank): the exact k rows of highest cosine of every query, ties by the neighbour's id.
 
-    Blocks of rows meet blocks of queries, each pair once; a pair gives at most k rows a query. Null, zero
-    and wrong-length vectors take no part, nor does a row with itself. Without `queries` all rows ask.
+    Blocks of rows meet blocks of queries, each pair once; a pair gives at most k rows a query. Null and zero vectors
+    and those of another length than the commonest (of equally common ones the longest) take no part, nor does a row
+    with itself. Without `queries` all rows ask; an exact answer for n queries over m rows takes n x m products, so
+    for large collections ask for some or use an approximate index.
     """
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     good = lambda d: d.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.sqrt(dot("v", "v")) > 0)
-    rows, asks = good(df), good(queries if queries is not None else df)
-    n = rows.count()
-    parts, kind = max(1, -(-n // BLOCK_ROWS)), df.schema[id_col].dataType.simpleString()
-    if n == 0:
-        return df.sparkSession.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, rank int")
-    block = lambda d, name: d.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("b")
+    rows = good(df)
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     schema = f"id {kind}, neighbour {kind}, similarity double"
-
-    def run(it):
-        for pdf in it:
-            for left, right in zip(pdf["asks"], pdf["rows"], strict=True):
-                dims = pd.Series([len(r["v"]) for r in right]).mode()
-                keep_r = [r for r in right if len(r["v"]) == dims[0]]
-                keep_l = [r for r in left if len(r["v"]) == dims[0]]
-                if not keep_l:
-                    continue
-                a, b = (np.array([r["v"] for r in z], float) for z in (keep_l, keep_r))
-                a, b = a / np.linalg.norm(a, axis=1)[:, None], b / np.linalg.norm(b, axis=1)[:, None]
-                ids = np.array([r["id"] for r in keep_r], dtype=object)
-                s = a @ b.T
-                order = np.argsort(ids.astype(str) if kind == "string" else ids.astype(float), kind="stable")
-                for i, r in enumerate(keep_l):
-                    own = s[i].copy()
-                    own[ids == r["id"]] = -np.inf
-                    best = order[np.argsort(-np.round(own[order], 12), kind="stable")[:k]]
-                    best = best[np.isfinite(own[best])]
-                    yield pd.DataFrame({"id": [r["id"]] * len(best), "neighbour": ids[best], "similarity": own[best]})
-
-    met = block(asks, "asks").crossJoin(block(rows, "rows")).mapInPandas(run, schema)
+    if sizes is None:
+        return spark.createDataFrame([], f"{schema}, rank int")
+    dim, n = sizes["d"], sizes["n"]
+    right = lambda d: d.where(F.size("v") == dim)
+    parts = max(-(-n // BLOCK_ROWS), min(n, max(1, round((BLOCKS_PER_TASK * spark.sparkContext.defaultParallelism) ** 0.5))))
+    held = _blocks(right(rows), parts, kind)
+    asks = held if queries is None else _blocks(right(good(queries)), parts, kind)
+    out = spark.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(out)
+        for b in batches:
+            for r in range(b.num_rows):
+                mine, theirs = b.column(0)[r].values, b.column(2)[r].values
+                x, y = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(-1, dim) for c in (1, 3))
+                by_id = np.argsort(np.array(theirs.to_pylist(), dtype=object), kind="stable")
+                theirs, y = theirs.take(pa.array(by_id)), y[by_id]
+                at = {v: i for i, v in enumerate(theirs.to_pylist())}
+                for a in range(0, len(x), PRODUCT_ROWS):
+                    s = x[a : a + PRODUCT_ROWS] @ y.T
+                    own = np.array([at.get(v, -1) for v in mine[a : a + PRODUCT_ROWS].to_pylist()])
+                    s[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
+                    low = np.round(s, 12)
+                    least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(low), -np.inf)
+                    i, j = np.nonzero((low >= least[:, None]) & np.isfinite(low))
+                    order = np.lexsort((j, -low[i, j], i))
+                    i, j = i[order], j[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays([mine.take(pa.array(i + a)).cast(target.field(0).type), theirs.take(pa.array(j)).cast(target.field(1).type), pa.array(s[i, j])], schema=target)
+
+    met = asks.toDF("a_ids", "a").crossJoin(held.toDF("b_ids", "b")).mapInArrow(run, out)  # blocks x blocks, a row for thousands of rows
     rank = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "neighbour")
     return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
