@@ -94,7 +94,8 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown_table(df, 1).endswith("_First 1 rows._")
     b = spark.createDataFrame([("BR/1", "x"), (" ", "y")], "branch_code string, verbatim string")
     sinks.branch_jsonl(b, str(tmp_path / "b"))
-    assert sorted(p.name for p in (tmp_path / "b").iterdir() if p.is_dir()) == ["branch_file=BR_1", "branch_file=branch_unknown"]
+    assert sorted(p.name for p in (tmp_path / "b").iterdir() if p.suffix == ".jsonl") == ["BR_1.jsonl", "branch_unknown.jsonl"]
+    assert sorted((r.source_file, r.branch_code, r.verbatim) for r in jsonl.records(spark, str(tmp_path / "b")).collect()) == [("BR_1.jsonl", "BR/1", "x"), ("branch_unknown.jsonl", " ", "y")]
 
 
 def test_transcript_round_trip(spark, tmp_path):
@@ -105,6 +106,35 @@ def test_transcript_round_trip(spark, tmp_path):
     assert [(r.turn_no, r.speaker, r.text) for r in telesales.transcripts(spark, str(tmp_path)).orderBy("turn_no").collect()] == [(1, 0, "hi: there"), (2, 1, "bye")]
 
 
+def test_buckets_and_versions(spark, tmp_path):
+    root = str(tmp_path / "s")
+    pts = spark.createDataFrame([(f"p{i}", f"t{i}", [float(i)]) for i in range(200)], "id string, document string, embedding array<float>")
+    collection.write(spark, root, "c", pts, buckets=8)
+    for k in range(3):
+        collection.write(spark, root, "c", spark.createDataFrame([("p7", f"new{k}", [1.0])], pts.schema))
+    got = {r.id: r.document for r in collection.read(spark, root, "c").collect()}
+    assert len(got) == 200 and got["p7"] == "new2"
+    folders = [p for p in (tmp_path / "s" / "c").glob("v*/_bucket=*")]
+    assert len(folders) == 9  # eight buckets and the version before of the one that was touched
+    collection.delete(spark, root, "c")
+    collection.delete(spark, root, "c")
+    assert collection.names(spark, root) == []
+
+
+def test_sequence_of_a_hot_value(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 < 2, "a").otherwise("b").alias("g"), F.pmod(F.xxhash64("id"), F.lit(100000)).alias("x"), "id")
+    got = jsonl.with_sequence(df, "g", "x", "id").orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, 5001)) and [(r.g, r.x, r.id) for r in got] == sorted((r.g, r.x, r.id) for r in got)
+
+
+def test_stream_keeps_the_order_of_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for f, texts in (("b.jsonl", ["x", "y"]), ("a.jsonl", ["p", "q"])):
+        (tmp_path / "in" / f).write_text("".join(json.dumps({"case_id": "c", "verbatim": f"{f} {t}"}) + "\n" for t in texts))
+    upsert.start(spark, str(tmp_path / "in"), str(tmp_path / "s"), "c", str(tmp_path / "ck"), HashingEmbedder()).awaitTermination()
+    assert [r.document for r in collection.read(spark, str(tmp_path / "s")).collect()] == ["b.jsonl y"]
+
+
 def test_bad_id_mode():
     with pytest.raises(ValueError):
         ingest.point_id("other")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -30,14 +34,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` through a reliable checkpoint in the shared folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that `spark.checkpoint.dir` names, set as the session's.
 
-    The folder comes from `spark.checkpoint.dir`. Only where that is unset, as in local tests, a temporary
-    folder is used. The files survive the loss of any executor.
+    Where that is unset a local session, as in tests, gets a temporary folder, deleted at the end; a cluster without
+    it is an error, as its nodes would each write to their own disk.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxmill-ckpt-"))
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", "")
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return named or have.get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="voxmill-ckpt-")
+        atexit.register(shutil.rmtree, named, True)
+    sc.setCheckpointDir(named)
+    return named
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for written tables beside the checkpoints."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/voxmill-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` through a reliable checkpoint in the shared folder; its files survive the loss of any executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,14 +1,23 @@
-"""Vector collections as Parquet folders: resolve, read, reset, upsert, with a side table of text metadata."""
+"""Vector collections as Parquet folders: resolve, read, reset, upsert, with a side table of text metadata.
+
+Points lie in buckets by the hash of their id. A write makes new folders for the buckets it touches only; a manifest
+names the folder of every bucket. A version is complete when its manifest is there, so a failed write leaves the old
+one, and a repeated write gives the same points. Folders that neither of the last two versions names are deleted.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.operators.ingest import upsert
+from voxmill.sources.sinks import text_file
 
+#: Buckets of a new collection; a write costs about its touched share of them.
+BUCKETS = 16
 EMPTY = "id string, document string, embedding array<float>"
 
 
@@ -41,31 +50,74 @@ def resolve(spark: SparkSession, root: str, name: str | None = None) -> str:
     return name
 
 
-def _current(spark: SparkSession, root: str, name: str) -> str | None:
-    """The folder of the last complete version."""
-    fs, p = _fs(spark, f"{root}/{name}")
-    if not fs.exists(p):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v") and fs.exists(_fs(spark, f"{root}/{name}/{s.getPath().getName()}/_SUCCESS")[1])]
-    return f"{root}/{name}/{max(done)}" if done else None
+def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """The complete versions of a collection, oldest first."""
+    fs, p = _fs(spark, f"{root}/{name}/_manifest")
+    return sorted(int(s.getPath().getName()[1:9]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
+
+
+def _manifest(spark: SparkSession, root: str, name: str, version: int) -> dict:
+    """{'buckets': how many, 'of': {bucket: version that wrote it}}."""
+    fs, p = _fs(spark, f"{root}/{name}/_manifest/v{version:08d}.json")
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+    finally:
+        stream.close()
+
+
+def _folder(root: str, name: str, version: int, bucket: int | str) -> str:
+    return f"{root}/{name}/v{version:08d}/_bucket={bucket}"
+
+
+def _load(spark: SparkSession, root: str, name: str, of: dict) -> DataFrame | None:
+    at = [_folder(root, name, v, b) for b, v in sorted(of.items())]
+    return spark.read.option("mergeSchema", "true").parquet(*at) if at else None
 
 
 def read(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
     """All points of a collection; an empty one gives an empty typed table."""
-    at = _current(spark, root, resolve(spark, root, name))
-    return spark.read.parquet(at) if at else spark.createDataFrame([], EMPTY)
+    name = resolve(spark, root, name)
+    have = _versions(spark, root, name)
+    got = _load(spark, root, name, _manifest(spark, root, name, have[-1])["of"]) if have else None
+    return got if got is not None else spark.createDataFrame([], EMPTY)
+
+
+def delete(spark: SparkSession, root: str, name: str) -> None:
+    """Removes a collection with all its versions and its metadata; one that is not there is no error."""
+    for at in (f"{root}/{name}", f"{root}/_meta/{name}"):
+        fs, p = _fs(spark, at)
+        fs.delete(p, True)
 
 
-def write(spark: SparkSession, root: str, name: str, points: DataFrame, meta: dict[str, str] | None = None, reset: bool = False) -> None:
-    """Adds points, new ones winning by id; with `reset` they replace the collection.
+def write(spark: SparkSession, root: str, name: str, points: DataFrame, meta: dict[str, str] | None = None, reset: bool = False, buckets: int = BUCKETS) -> None:
+    """Adds points, new ones winning by id; with `reset` the collection is deleted before.
 
-    Each write is a new version beside the old one, complete when its marker is there, so a failed write
-    leaves the old version and a repeated one gives the same points.
+    `buckets` counts for a new collection; one that is there keeps its own number.
     """
-    at = None if reset else _current(spark, root, name)
-    out = points if at is None else upsert(spark.read.parquet(at), points)
-    number = int(at.rsplit("v", 1)[1]) + 1 if at else int((_current(spark, root, name) or "v-1").rsplit("v", 1)[1]) + 1
-    out.write.mode("overwrite").parquet(f"{root}/{name}/v{number:08d}")
+    if reset:
+        delete(spark, root, name)
+    have = _versions(spark, root, name)
+    old = _manifest(spark, root, name, have[-1]) if have else {"buckets": buckets, "of": {}}
+    version = have[-1] + 1 if have else 0
+    bucket = F.pmod(F.xxhash64("id"), F.lit(old["buckets"])).cast("int")
+    touched = [str(r.b) for r in points.select(bucket.alias("b")).distinct().collect()]  # at most as many as buckets
+    before = _load(spark, root, name, {b: v for b, v in old["of"].items() if b in touched})
+    out = points if before is None else upsert(before, points)
+    out.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/{name}/v{version:08d}")
+    now = {"buckets": old["buckets"], "of": {**old["of"], **{b: version for b in touched}}}
+    text_file(spark, json.dumps(now), f"{root}/{name}/_manifest/v{version:08d}.json")
+    for v in have[:-1]:  # the last version but one stays for those who are reading it
+        fs, p = _fs(spark, f"{root}/{name}/_manifest/v{v:08d}.json")
+        fs.delete(p, False)
+    kept = {*now["of"].items(), *old["of"].items()}
+    for v in range(version):
+        fs, p = _fs(spark, f"{root}/{name}/v{v:08d}")
+        if fs.exists(p):
+            for d in fs.listStatus(p):
+                got = d.getPath().getName()
+                if got.startswith("_bucket=") and (got[8:], v) not in kept:
+                    fs.delete(d.getPath(), True)
     if meta is not None:
         dim = points.where("embedding IS NOT NULL").select(F.size("embedding").alias("d")).first()
         side = {**meta, "embedding_dim": str(dim.d if dim else 0)}

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.functions.text import json_line_clean, json_line_kind, ustrip
+from voxmill.functions.text import json_line, ustrip
 from voxmill.schemas import FEEDBACK
+from voxmill.session import cut_lineage
+
+
+def lines(files: DataFrame) -> DataFrame:
+    """(source_file, path_key, line_no, value, kind, clean) of files (path, content): their non-blank lines, stripped, with what they hold.
+
+    line_no numbers the lines of a file from 1, blank ones included; clean is an object written plainly.
+    """
+    each = files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.lower("path").alias("path_key"), F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r\n|\n|\r")).alias("i", "line"))
+    kept = each.select("source_file", "path_key", (F.col("i") + 1).cast("bigint").alias("line_no"), ustrip("line").alias("value")).where("value <> ''")
+    return kept.withColumn("_read", json_line("value")).select("source_file", "path_key", "line_no", "value", "_read.kind", "_read.clean")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_file, path_key, line_no, value, kind): the non-blank lines of the *.jsonl files of a folder, not of its subfolders.
+    """(source_file, path_key, line_no, value, kind, clean): the non-blank lines of the *.jsonl files of a folder, not of its subfolders.
 
-    kind is 'object', 'other' or 'bad'. Lines are stripped of Unicode white space first. line_no numbers the
-    lines of a file from 1, blank ones included; files are read whole so that it is exact. A folder without
+    kind is 'object', 'other' or 'bad'. Files are read whole so that line numbers are exact. A folder without
     such files raises FileNotFoundError.
     """
     try:
@@ -24,34 +34,42 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
         raise
     except Exception as e:  # the reader's own complaint about a missing path
         raise FileNotFoundError(f"no *.jsonl in {folder}") from e
-    lines = files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.lower("path").alias("path_key"), F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r\n|\n|\r")).alias("i", "line"))
-    kept = lines.select("source_file", "path_key", (F.col("i") + 1).cast("bigint").alias("line_no"), ustrip("line").alias("value")).where("value <> ''")
-    return kept.withColumn("kind", json_line_kind("value"))
+    return lines(files)
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the objects of a folder under the explicit schema, with source_file, path_key and line_no."""
-    ok = scan(spark, folder).where("kind = 'object'").withColumn("r", F.from_json(json_line_clean("value"), FEEDBACK))
+def parsed(scanned: DataFrame) -> DataFrame:
+    """The rows of the objects among lines under the explicit schema, with source_file, path_key and line_no."""
+    ok = scanned.where("kind = 'object'").withColumn("r", F.from_json("clean", FEEDBACK))
     return ok.select("source_file", "path_key", "line_no", "r.*")
 
 
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the objects of a folder."""
+    return parsed(scan(spark, folder))
+
+
 def counters(spark: SparkSession, folder: str) -> DataFrame:
-    """(seen, skipped_id, skipped_text, malformed): one row; an object without id is skipped for that alone."""
+    """(seen, skipped_id, skipped_text, malformed): one row, from one pass; an object without id is skipped for that alone."""
     from voxmill.operators.ingest import reject_reason
 
-    bad = scan(spark, folder).agg(F.count_if(F.expr("kind <> 'object'")).alias("malformed"))
-    ok = records(spark, folder).withColumn("why", reject_reason())
-    return ok.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.expr("why = 'missing_case_id'")).alias("skipped_id"), F.count_if(F.expr("why = 'empty_verbatim'")).alias("skipped_text")).crossJoin(bad)
+    r = scan(spark, folder).withColumn("r", F.from_json("clean", FEEDBACK)).select("kind", reject_reason("r.case_id", "r.verbatim").alias("why"))
+    of = lambda why: F.count_if((F.col("kind") == "object") & (F.col("why") == why))
+    return r.agg(F.count_if(F.col("kind") == "object").alias("seen"), of("missing_case_id").alias("skipped_id"), of("empty_verbatim").alias("skipped_text"), F.count_if(F.col("kind") != "object").alias("malformed"))
 
 
 def with_sequence(df: DataFrame, first: str, *order: str, name: str = "seq") -> DataFrame:
     """`df` with a gapless number over the order of `first` and the further columns, nulls first.
 
-    Rows are ranked within each value of `first`, in parallel, and moved by the number of rows before it,
-    a running sum over one row per value.
+    Rows are dealt into ranges of the whole order, so one value of `first` may hold any share of them, and are numbered
+    within their range from where the ranges before end. Rows that are equal in all of the columns come in any order.
     """
-    sizes = df.groupBy(F.col(first).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(first).orderBy(*order)))
-    return ranked.join(starts, F.col(first).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_before") + F.col("_r")).drop("_g", "_before", "_r")
+    by = [F.col(c).asc_nulls_first() for c in (first, *order)]
+    ranged = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by))  # kept, as ranges are drawn anew each time
+    numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes, before = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect(), 0  # a row per range
+    starts = []
+    for r in sizes:
+        starts.append((r["_part"], before))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(starts, "_part int, _before bigint")
+    return numbered.join(F.broadcast(table), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")

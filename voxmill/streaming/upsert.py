@@ -1,29 +1,28 @@
-"""Feedback folders as a stream: each micro-batch of lines goes into the collection by the same keyed upsert."""
+"""Feedback folders as a stream: each micro-batch of files goes into the collection by the same keyed upsert."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxmill.functions.text import json_line_clean, json_line_kind, ustrip
 from voxmill.operators.ingest import points
 from voxmill.providers import Embedder, embed
-from voxmill.schemas import FEEDBACK
-from voxmill.sources import collection
+from voxmill.session import cut_lineage
+from voxmill.sources import collection, jsonl
+
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def start(spark: SparkSession, folder: str, root: str, name: str, checkpoint: str, embedder: Embedder, mode: str = "case_id") -> StreamingQuery:
     """Reads what the folder holds and what comes, once (trigger available-now), and upserts it.
 
-    A batch that is repeated after a failure writes the same points again, as ids decide.
+    Files come whole, so within a batch the last line of an id wins in the order of path and line, as without a
+    stream; a later batch wins over an earlier one. A batch that is repeated after a failure writes the same points.
     """
-    lines = spark.readStream.format("text").option("pathGlobFilter", "*.jsonl").load(folder).select(F.col("_metadata.file_name").alias("source_file"), F.lower("_metadata.file_path").alias("path_key"), ustrip("value").alias("value")).where("value <> ''")
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.jsonl").load(folder).select("path", "content")
 
     def put(batch: DataFrame, _: int) -> None:
-        ok = batch.where(json_line_kind("value") == "object").withColumn("r", F.from_json(json_line_clean("value"), FEEDBACK))
-        # a stream has no line numbers: within a file the later text of an id wins by its time, then by its content
-        raw = ok.select("source_file", "path_key", F.xxhash64("value").alias("line_no"), "r.*").withColumn("path_key", F.concat("path_key", F.lit("/"), F.coalesce("updated_at", "created_at", F.lit(""))))
-        collection.write(batch.sparkSession, root, name, embed(points(raw, mode), "document", embedder))
+        new = cut_lineage(embed(points(jsonl.parsed(jsonl.lines(batch)), mode), "document", embedder))
+        collection.write(batch.sparkSession, root, name, new)
 
-    return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
