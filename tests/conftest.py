@@ -3,7 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(_HERE))
+# Python workers import the package and classes of the tests.
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (os.path.dirname(_HERE), _HERE, os.environ.get("PYTHONPATH")) if x)
 
 
 @pytest.fixture(scope="session")

@@ -28,6 +28,7 @@ class GeneratorConfig:
 
     chunk_size: int = 10
     max_retries: int = 3
+    retry_backoff_seconds: float = 1.5
     timeout_ms: int | None = 900_000
     anonymous_fraction: float = 0.2
     timezone: str = "+07:00"
@@ -36,7 +37,13 @@ class GeneratorConfig:
     @staticmethod
     def of(d: dict) -> GeneratorConfig:
         t = d.get("timeout_ms", 900_000)
-        return GeneratorConfig(max(1, int(d.get("chunk_size", 10))), max(1, int(d.get("max_retries", 3))), int(t) if t else None, d.get("anonymous_fraction") or 0.2, d.get("timezone") or "+07:00", d)
+        return GeneratorConfig(max(1, int(d.get("chunk_size", 10))), max(1, int(d.get("max_retries", 3))), float(d.get("retry_backoff_seconds", 1.5)), int(t) if t else None, d.get("anonymous_fraction") or 0.2, d.get("timezone") or "+07:00", d)
+
+    @staticmethod
+    def near(start: str, block: str = "generator") -> GeneratorConfig:
+        """From the nearest settings file that has the block; the defaults where there is none."""
+        found = find_settings(start, block)
+        return GeneratorConfig.of(found[1]) if found else GeneratorConfig()
 
 
 def find_settings(start: str, block: str, name: str = "config.yaml") -> tuple[Path, dict] | None:

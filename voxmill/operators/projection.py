@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.operators.density import cluster
+from voxmill.session import cut_lineage
 
 #: Rows of a task's block of the neighbour search, rows it meets at once, neighbours held beyond those asked for.
 BLOCK_ROWS, MEET_ROWS, SPARE = 512, 16_384, 8
@@ -223,6 +224,51 @@ def sweep(df: DataFrame, id_col: str, vec_col: str, low: int = 15, high: int = 2
     return candidates(spark, low, high).mapInPandas(run, METRICS)
 
 
+def cluster_metrics(labelled: DataFrame, tiny: int = 5) -> DataFrame:
+    """(n_clusters, n_noise_points, n_tiny_islands, largest_cluster, largest_cluster_share) of a table (cluster): one row; noise is -1 or null.
+
+    The share is that of all rows. No rows give zeros.
+    """
+    g = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("cluster") >= 0
+    size = F.when(own, F.col("n"))
+    return g.agg(
+        F.count(size).alias("n_clusters"), F.coalesce(F.sum(F.when(own, 0).otherwise(F.col("n"))), F.lit(0)).alias("n_noise_points"), F.count_if(own & (F.col("n") <= tiny)).alias("n_tiny_islands"),
+        F.coalesce(F.max(size), F.lit(0)).alias("largest_cluster"), F.coalesce(F.max(size) / F.sum("n"), F.lit(0.0)).alias("largest_cluster_share"),
+    )
+
+
+def spread(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """(spread_x, spread_y, bbox_area) of a plane layout: population deviations and the area of the bounding box; nulls are passed over, no rows give zeros."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return points.agg(zero(F.stddev_pop(x)).alias("spread_x"), zero(F.stddev_pop(y)).alias("spread_y"), zero((F.max(x) - F.min(x)) * (F.max(y) - F.min(y))).alias("bbox_area"))
+
+
+class Explorer:
+    """Plane layouts of one table of vectors by the number of neighbours that was asked for; each is made once."""
+
+    def __init__(self, points: DataFrame, id_col: str, vec_col: str, seed: int = 42) -> None:
+        self.points, self.id_col, self.vec_col, self.seed = points, id_col, vec_col, seed
+        self.made: dict[int, tuple[DataFrame, dict]] = {}
+
+    def plane(self, n_neighbors: int) -> tuple[DataFrame, dict]:
+        """((id, x, y, cluster), metrics): the layout as coordinates to be drawn, and what it looks like."""
+        if n_neighbors not in self.made:
+            flat = project(self.points, self.id_col, self.vec_col, n_neighbors, 2, self.seed)
+            kind = flat.schema[self.id_col].dataType.simpleString()
+
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values("id").reset_index(drop=True)
+                xy = np.stack(pdf["point"].to_numpy())
+                return pd.DataFrame({"id": pdf["id"], "x": xy[:, 0], "y": xy[:, 1], "cluster": cluster(xy, max(2, min(5, len(xy))))})
+
+            one = flat.select(F.lit(0).alias("g"), F.col(self.id_col).alias("id"), "point").groupBy("g").applyInPandas(run, f"id {kind}, x double, y double, cluster int")
+            frame = cut_lineage(one)
+            m = {**cluster_metrics(frame).first().asDict(), **spread(frame).first().asDict()}
+            self.made[n_neighbors] = frame.withColumnRenamed("id", self.id_col), {"n_neighbors": n_neighbors, **m}
+        return self.made[n_neighbors]
+
+
 def choose(evaluation: DataFrame, largest_share: float = 0.6, override: int | None = None) -> int:
     """The candidate to go on with: the override, else of those without a giant cluster the one with fewest tiny islands and least noise, ties to the smaller."""
     if override is not None:

@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxmill.config import check_range
-from voxmill.functions.dialogue import slot, state, tts_bounds, uniform, word_band
-from voxmill.functions.text import branch_code, finalize
-from voxmill.providers import ExtractiveGenerator, TextGenerator, generated
+from voxmill.config import GeneratorConfig, check_range
+from voxmill.functions.dialogue import slot, state, timestamps, tts_bounds, uniform, word_band
+from voxmill.functions.text import blank_to_null, branch_code, finalize
+from voxmill.operators.generation import CHANNELS, OUTCOMES, PRODUCTS, TYPES, ItemsGenerator, TemplateItems, feedback_items
 
 # The domains of the record's fields.
 REGIONS = ("JAVA", "SUMATERA", "KALIMANTAN", "SULAWESI", "BALI_NUSA", "MALUKU", "PAPUA")
-CHANNELS = ("branch_counter", "email", "mobile_app", "phone", "internet_banking", "branch_tablet", "ombudsman_escalation", "social")
-TYPES = ("standard_feedback_form", "detailed_complaint_ticket")
-PRODUCTS = ("account", "card", "digital_channel", "fees", "lending", "mortgage", "other")
 QUEUES = ("BRANCH_INTAKE", "BACK_OFFICE", "RETAIL_CARE", None)
-OUTCOMES = ("accepted", "declined", "callback")
 FILLER = {"en": ["Please look into this soon.", "I have been a customer for years."], "id": ["Mohon segera ditindaklanjuti.", "Saya sudah lama menjadi nasabah."]}
 
 
@@ -34,61 +30,80 @@ def branches(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return base.withColumn("region", region).withColumn("branch_code", branch_code("region", F.col("branch_index")))
 
 
+def _token(seed: int, length: int, *parts: Column) -> Column:
+    """Upper-case hexadecimal letters that depend on the seed and the parts alone."""
+    return F.upper(F.substring(F.sha2(F.concat_ws("/", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256), 1, length))
+
+
 def customer(seed: int, *parts: Column) -> Column:
-    return F.concat(F.lit("SYN-CUST-"), F.upper(F.substring(F.sha2(F.concat_ws("/", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256), 1, 10)))
+    return F.concat(F.lit("SYN-CUST-"), _token(seed, 10, *parts))
+
+
+def branch_customer(seed: int, n: Column, least: int) -> Column:
+    """The customer of a branch's row: any of between `least` and n customers, as many as the seed says."""
+    rows = F.greatest(n, F.lit(1))
+    low = F.least(F.lit(max(1, least)), rows)
+    many = low + F.floor(uniform(F.lit(seed), F.lit("customers"), F.col("branch_index")) * (rows - low + 1)).cast("int")
+    own = F.floor(uniform(F.lit(seed), F.lit("who"), F.col("branch_index"), F.col("row_index")) * many).cast("int")
+    return F.concat(F.format_string("SYN-CUST-B%02d-U%03d-", F.col("branch_index"), own), _token(seed, 8, F.col("branch_index"), own))
 
 
 def target_lengths(lo: int, hi: int, seed: int) -> Column:
-    """Of each branch and type the first row gets the shortest length, the second the longest, the others any."""
+    """Of each branch and type the first row gets the shortest length, the second the longest, the others any; a single row one of the three."""
     w = Window.partitionBy("branch_index", "submission_type").orderBy("row_index")
     n, size = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("branch_index", "submission_type"))
-    any_ = (F.lit(lo) + F.floor(uniform(F.lit(seed), F.lit("len"), F.col("branch_index"), F.col("row_index")) * (hi - lo + 1))).cast("int")
-    return F.when((size > 1) & (n == 1), lo).when((size > 1) & (n == 2), hi).otherwise(any_)
+    key = (F.col("branch_index"), F.col("row_index"))
+    any_ = (F.lit(lo) + F.floor(uniform(F.lit(seed), F.lit("len"), *key) * (hi - lo + 1))).cast("int")
+    three = F.floor(uniform(F.lit(seed), F.lit("single"), *key) * 3)
+    alone = F.when(three == 0, lo).when(three == 1, hi).otherwise(any_)
+    return F.when(size == 1, alone).when(n == 1, lo).when(n == 2, hi).otherwise(any_)
 
 
-def feedback(spark: SparkSession, n_branches: int = 5, rows_min: int = 5, rows_max: int = 20, min_chars: int = 120, max_chars: int = 600, language: str = "en", year: int = 2026, seed: int = 7, anonymous: float = 0.2, generator: TextGenerator | None = None) -> DataFrame:
-    """Raw feedback records: per branch a seeded number of rows, half of each submission type."""
+def feedback(spark: SparkSession, n_branches: int = 5, rows_min: int = 5, rows_max: int = 20, min_chars: int = 120, max_chars: int = 600, language: str = "en", year: int = 2026, seed: int = 7, day: str | None = None, least_customers: int = 1, generator: ItemsGenerator | None = None, config: GeneratorConfig = GeneratorConfig()) -> DataFrame:
+    """Raw feedback records: per branch a seeded number of rows, half of each submission type, in a seeded order.
+
+    Texts come from the generator, a request a chunk of rows, and are repaired, padded and cut to their bounds. With
+    a `day` all records lie on it.
+    """
     check_range("rows", rows_min, rows_max, 1)
     check_range("chars", min_chars, max_chars, 1)
     s = F.lit(seed)
     b = branches(spark, n_branches, seed).withColumn("n", (F.lit(rows_min) + F.floor(uniform(s, F.lit("n"), F.col("branch_index")) * (rows_max - rows_min + 1))).cast("int"))
-    r = b.withColumn("row_index", F.explode(F.expr("sequence(1, n)")))
-    key = (F.col("branch_index"), F.col("row_index"))
-    u = lambda what: uniform(s, F.lit(what), *key)
-    r = r.withColumn("submission_type", F.when(F.col("row_index") * 2 <= F.col("n") + 1, TYPES[0]).otherwise(TYPES[1])).withColumn("target", target_lengths(min_chars, max_chars, seed))
+    r = b.withColumn("made", F.explode(F.expr("sequence(1, n)"))).withColumn("submission_type", F.when(F.col("made") * 2 <= F.col("n") + 1, TYPES[0]).otherwise(TYPES[1]))
+    shuffled = Window.partitionBy("branch_index").orderBy(F.xxhash64(s, F.col("branch_index"), F.col("made")), "made")
+    r = r.withColumn("row_index", F.row_number().over(shuffled)).withColumn("target_chars", target_lengths(min_chars, max_chars, seed)).drop("made")
+    r = r.withColumn("min_chars", F.lit(min_chars)).withColumn("max_chars", F.lit(max_chars))
     before = F.coalesce(F.sum("n").over(Window.orderBy("branch_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = b.withColumn("first", before).select("branch_index", "first")  # a row per branch
-    r = r.join(firsts, "branch_index").withColumn("seq", F.col("first") + F.col("row_index"))
-    created = F.timestamp_seconds(F.unix_timestamp(F.lit(f"{year}-01-01"), "yyyy-MM-dd") + F.floor(u("t") * 365 * 86400))
-    iso = lambda t: F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+07:00"))
-    product = pick(PRODUCTS, s, F.lit("p"), *key)
-    channel = pick(CHANNELS, s, F.lit("c"), *key)
-    prompt = F.format_string("The %s has a problem that came in by %s. It was reported to the branch in %s. Nobody answered so far.", product, channel, F.col("region"))
-    text = generated(prompt, generator or ExtractiveGenerator(4))
-    case = F.format_string(f"BK-{year}-%08d", F.col("seq"))
-    own = (F.floor(u("who") * F.greatest(F.col("n"), F.lit(1)))).cast("int")
-    out = r.select(
-        F.lit("bank_complaint_raw").alias("record_type"), "submission_type", case.alias("case_id"), case.alias("ticket_number"), "branch_code", "region", channel.alias("channel"),
-        iso(created).alias("created_at"), F.when(u("u") < 0.35, iso(created + F.make_interval(hours=F.floor(u("h") * 72).cast("int") + 1))).alias("updated_at"), state(u("st")).alias("status"),
-        F.when(u("np") >= 0.1, product).alias("product_bucket"), F.when(u("ns") >= 0.2, F.concat(F.lit("About the "), product)).alias("subject"), text.alias("verbatim"), F.lit(language).alias("language"),
-        (u("a") < 0.15).alias("has_attachments"), F.when(u("an") < anonymous, "").otherwise(customer(seed, F.col("branch_index"), own)).alias("customer_ref"),
-        F.when(u("q") >= 0.2, pick(QUEUES, s, F.lit("q2"), *key)).alias("assigned_queue"), F.lit(True).alias("synthetic"), F.lit("0.1.0").alias("generator_version"), F.lit("offline").alias("model"), "target",
+    items = feedback_items(r, generator or TemplateItems(), language, config, seed, day)
+    key = (F.col("branch_index"), F.col("row_index"))
+    u = lambda what: uniform(s, F.lit(what), *key)
+    full = repair(items, seed).join(r.select("branch_index", "row_index", "branch_code", "region", "n", F.col("submission_type").alias("asked_type")), ["branch_index", "row_index"]).join(firsts, "branch_index")
+    created, updated = timestamps(F.struct(s, *key), config.timezone, F.lit(day).cast("date") if day else None, year)
+    case = F.format_string(f"BK-{year}-%08d", F.col("first") + F.col("row_index"))
+    return full.select(
+        F.lit("bank_complaint_raw").alias("record_type"), F.col("asked_type").alias("submission_type"), case.alias("case_id"), case.alias("ticket_number"), "branch_code", "region", "channel",
+        created.alias("created_at"), updated.alias("updated_at"), state(u("st")).alias("status"), "product_bucket", "subject",
+        finalize("verbatim", min_chars, max_chars, FILLER.get(language, FILLER["en"]), case).alias("verbatim"), F.lit(language).alias("language"), "has_attachments",
+        F.when(u("an") < config.anonymous_fraction, "").otherwise(branch_customer(seed, F.col("n"), least_customers)).alias("customer_ref"),
+        F.when(u("q") >= 0.2, pick(QUEUES, s, F.lit("q2"), *key)).alias("assigned_queue"), F.lit(True).alias("synthetic"), F.lit("0.1.0").alias("generator_version"), F.lit("offline").alias("model"),
     )
-    fitted = F.when(F.length("verbatim") > F.col("target"), F.concat(F.expr("rtrim(substring(verbatim, 1, target - 1))"), F.lit("…"))).otherwise(F.col("verbatim"))
-    return out.withColumn("verbatim", finalize(fitted, min_chars, max_chars, FILLER.get(language, FILLER["en"]), F.col("case_id"))).drop("target")
 
 
-def repair(df: DataFrame, seed: int = 7) -> DataFrame:
-    """Records with fields forced into their domains: blank subject and product null, an unknown channel replaced, attachments boolean."""
-    from voxmill.functions.text import blank_to_null
+def repair(df: DataFrame, seed: int = 7, language: str | None = None, submission_type: str | None = None) -> DataFrame:
+    """Records with fields forced into their domains: blank subject and product null, an unknown channel replaced, attachments boolean.
 
+    With a language or a submission type (a column's name) every record gets it, whatever it says.
+    """
     ok = F.col("channel").isin(*CHANNELS)
-    return (
+    out = (
         df.withColumn("subject", blank_to_null("subject"))
         .withColumn("product_bucket", blank_to_null("product_bucket"))
-        .withColumn("channel", F.when(ok, F.col("channel")).otherwise(pick(CHANNELS, F.lit(seed), F.col("case_id"))))
+        .withColumn("channel", F.when(ok, F.col("channel")).otherwise(pick(CHANNELS, F.lit(seed), F.xxhash64(*[F.col(c) for c in df.columns if c != "channel"]))))
         .withColumn("has_attachments", F.coalesce(F.col("has_attachments").cast("boolean"), F.lit(False)))
     )
+    out = out if language is None else out.withColumn("language", F.lit(language))
+    return out if submission_type is None else out.withColumn("submission_type", F.col(submission_type))
 
 
 def dialogue_specs(spark: SparkSession, n: int, min_seconds: float = 45, max_seconds: float = 300, language: str = "en", year: int = 2026, seed: int = 7) -> DataFrame:
@@ -103,7 +118,7 @@ def dialogue_specs(spark: SparkSession, n: int, min_seconds: float = 45, max_sec
     s = F.lit(seed)
     return b.withColumn("word_count_min", a).withColumn("word_count_max", z).withColumn("duration_word_band_mode", mode).select(
         F.format_string(f"tel-{year}-%08d", i).alias("conversation_id"), "row_index", pick(PRODUCTS, s, F.lit("p"), i).alias("primary_product"), pick(OUTCOMES, s, F.lit("o"), i).alias("outcome"),
-        F.when(uniform(s, F.lit("blank"), i) < 0.15, "").otherwise(customer(seed, i)).alias("customer_ref"), "duration_slot", "target_spoken_seconds", "word_count_min", "word_count_max", "duration_word_band_mode",
+        F.when(uniform(s, F.lit("blank"), i) < 0.15, "").otherwise(customer(seed, i)).alias("customer_ref"), "global_min", "global_max", "duration_slot", "target_spoken_seconds", "word_count_min", "word_count_max", "duration_word_band_mode",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -73,6 +73,64 @@ def unpack_embedding(answer: dict) -> list[list[float]]:
     raise ValueError("the answer holds no embedding")
 
 
+class LocalModelEmbedder:
+    """A transformer from a folder: texts are cut at `max_tokens`, padded at the left, pooled at their last token, scaled to unit length.
+
+    The folder holds tokenizer.json and model.onnx with the inputs input_ids and attention_mask and the hidden states
+    as first output. `run` (ids, mask) -> hidden states stands in for the model's session where another runtime is
+    used. The model is loaded in each worker at its first batch.
+    """
+
+    def __init__(self, folder: str, max_tokens: int = 8192, run: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, encode: Callable[[str], list[int]] | None = None, pad: int = 0) -> None:
+        self.folder, self.max_tokens, self.run, self.encode, self.pad = folder, max_tokens, run, encode, pad
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _load(self) -> None:
+        if "_run" in self.__dict__:
+            return
+        self._run, self._encode = self.run, self.encode
+        if self._encode is None:
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(f"{self.folder}/tokenizer.json")
+            self._encode = lambda text: t.encode(text).ids
+        if self._run is None:
+            import onnxruntime
+
+            session = onnxruntime.InferenceSession(f"{self.folder}/model.onnx", providers=["CPUExecutionProvider"])
+            self._run = lambda ids, mask: session.run(None, {"input_ids": ids, "attention_mask": mask})[0]
+
+    def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        self._load()
+        rows = [self._encode(t)[: self.max_tokens] or [self.pad] for t in texts]
+        width = max(map(len, rows))
+        ids, mask = np.full((len(rows), width), self.pad, np.int64), np.zeros((len(rows), width), np.int64)
+        for i, r in enumerate(rows):
+            ids[i, width - len(r) :], mask[i, width - len(r) :] = r, 1
+        v = last_token_pool(np.asarray(self._run(ids, mask), np.float64), mask)
+        norm = np.linalg.norm(v, axis=1)
+        return (v / np.where(norm > 0, norm, 1)[:, None]).tolist()
+
+
+class ServiceEmbedder:
+    """A remote service: `call` takes texts and gives its answer as an object; another number of vectors than texts is an error."""
+
+    def __init__(self, call: Callable[[list[str]], dict]) -> None:
+        self.call = call
+
+    def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        got = unpack_embedding(self.call(list(texts)))
+        if len(got) != len(texts):
+            raise ValueError(f"{len(got)} vectors came for {len(texts)} texts")
+        return got
+
+
 def embed(df: DataFrame, text_col: str, embedder: Embedder, out_col: str = "embedding", batch: int = 256) -> DataFrame:
     """`df` with the vector of its text, null text as empty; texts go to the embedder in batches."""
     schema = df.sparkSession.createDataFrame([], df.drop(out_col).schema).withColumn(out_col, F.lit(None).cast("array<float>")).schema
