@@ -26,6 +26,7 @@ class TopicResult:
     summaries: DataFrame
     report: DataFrame
     evaluation: DataFrame
+    narrative: str = ""
 
 
 def ingest_feedback(spark: SparkSession, folder: str, root: str, name: str, embedder: Embedder | None = None, mode: str = "case_id", include_subject: bool = False, reset: bool = False) -> dict[str, int]:
@@ -40,7 +41,7 @@ def ingest_feedback(spark: SparkSession, folder: str, root: str, name: str, embe
 def topics(points: DataFrame, config: PipelineConfig | None = None, n_neighbors: int | None = None, generator: TextGenerator | None = None, id_col: str = "id", text_col: str = "document", vec_col: str = "embedding") -> TopicResult:
     """Projects, clusters and describes points (id, document, embedding). `n_neighbors` stands for a person's choice."""
     c = config or PipelineConfig()
-    pts = vectors.scaled(points, "l2", vec_col)
+    pts = vectors.scaled(vectors.checked(points, vec_col), "l2", vec_col)
     evaluation = cut_lineage(projection.sweep(pts, id_col, vec_col, c.n_neighbors_low, c.n_neighbors_high, c.seed))
     n = points.count()
     k = projection.clamp_neighbors(projection.choose(evaluation, override=n_neighbors), n)
@@ -49,11 +50,14 @@ def topics(points: DataFrame, config: PipelineConfig | None = None, n_neighbors:
     labelled = points.join(lab, id_col).withColumnRenamed(id_col, "id") if id_col != "id" else points.join(lab, "id")
     kw = cut_lineage(keywords.extract(labelled, c.top_n, c.keyword_chars, text_col=text_col))
     summ = cut_lineage(report.summarise(labelled, c.summary_chars, generator, text_col))
-    return TopicResult(k, n, report.n_clusters(labelled).first()["n_clusters"], labelled, kw, summ, report.frame(summ, kw), evaluation)
+    named = report.asked_labels(summ, generator) if generator else None
+    rows = cut_lineage(report.frame(summ, kw, named))
+    text = report.narrative(rows, generator) if generator else ""
+    return TopicResult(k, n, report.n_clusters(labelled).first()["n_clusters"], labelled, kw, summ, rows, evaluation, text)
 
 
 def write_topics(result: TopicResult, folder: str) -> None:
     """Keyword CSV, summary CSV and Markdown report."""
     sinks.csv(result.keywords.orderBy(F.col("cluster").cast("string"), F.desc("cosine_similarities"), "keywords"), f"{folder}/keyword_summary")
     sinks.csv(result.summaries.orderBy(F.col("cluster").cast("string")), f"{folder}/summary")
-    sinks.markdown_file(report.markdown(result.report), f"{folder}/report.md")
+    sinks.text_file(result.report.sparkSession, report.markdown(result.report, result.narrative), f"{folder}/report.md")

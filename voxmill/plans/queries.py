@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions import dialogue, text
-from voxmill.operators import density, ingest, keywords, projection, report, synth, vectors
-from voxmill.session import cut_lineage, table
-from voxmill.sources import sinks, telesales
+from voxmill.operators import density, generation, ingest, keywords, projection, report, synth, vectors
+from voxmill.schemas import FEEDBACK_COLUMNS
+from voxmill.session import cut_lineage, shared_folder, table
+from voxmill.sources import collection, jsonl, sinks, telesales
 from voxmill.sources.jsonl import with_sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,8 +134,8 @@ def record_repair(spark: SparkSession, d: str) -> DataFrame:
     return synth.repair(raw(spark, d).withColumn("known_channel", known)).select("source_file", "line_no", "subject", "product_bucket", "known_channel", "has_attachments")
 
 
-@query("""SELECT source_file, line_no, CASE WHEN x IN ('en', 'english', 'eng') THEN 'en' WHEN x IN ('id', 'indonesian', 'bahasa', 'bahasa indonesia', 'ind') THEN 'id' WHEN regexp_full_match(x, '\\p{L}{2}') THEN x END AS language
-  FROM (SELECT source_file, line_no, lower(regexp_replace(language, '^\\s+|\\s+$', '', 'g')) AS x FROM feedback_raw)""")
+@query("""SELECT source_file, line_no, CASE WHEN x IN ('en', 'english') THEN 'en' WHEN x IN ('id', 'indonesian', 'bahasa', 'bahasa indonesia', 'in') THEN 'id' WHEN regexp_full_match(x, '\\p{L}{2}') THEN x END AS language
+  FROM (SELECT source_file, line_no, lower(regexp_replace(coalesce(nullif(language, ''), 'en'), '^\\s+|\\s+$', '', 'g')) AS x FROM feedback_raw)""")
 def language_codes(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d).select("source_file", "line_no", text.language_code("language").alias("language"))
 
@@ -162,7 +163,7 @@ def case_sequence(spark: SparkSession, d: str) -> DataFrame:
     return with_sequence(r, "branch_code", "case_id", "source_file", "line_no", name="seq").select("case_id", F.format_string("BK-2026-%08d", "seq").alias("sequence_id"))
 
 
-@query("""SELECT line_no, source_file, CASE WHEN u < 0.15 THEN 'open' WHEN u < 0.4 THEN 'in_progress' WHEN u < 0.75 THEN 'resolved' WHEN u < 0.9 THEN 'closed' WHEN u < 0.95 THEN 'escalated' ELSE 'closed' END AS state
+@query("""SELECT line_no, source_file, CASE WHEN u <= 0.15 THEN 'open' WHEN u <= 0.4 THEN 'in_progress' WHEN u <= 0.75 THEN 'resolved' WHEN u <= 0.9 THEN 'closed' WHEN u <= 0.95 THEN 'escalated' ELSE 'closed' END AS state
   FROM (SELECT source_file, line_no, (line_no % 1000) / 1000.0 AS u FROM feedback_raw)""")
 def status_ladder(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d).select("line_no", "source_file", dialogue.state((F.col("line_no") % 1000) / F.lit(1000.0)).alias("state"))
@@ -186,10 +187,12 @@ def branch_codes(spark: SparkSession, d: str) -> DataFrame:
 # ---- text -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, substr(text, 1, 12000) AS keyword_text, CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '[cut]' ELSE text END AS summary_text FROM documents")
+@query(f"""SELECT doc_id, substr(text, 1, 12000) AS keyword_text, CASE WHEN length(s) > 600000 THEN substr(s, 1, 600000) || chr(10) || chr(10) || '[... truncated for context limit ...]' ELSE s END AS summary_text
+  FROM (SELECT doc_id, text, {strip_sql('text')} AS s FROM documents) WHERE s <> ''""")
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents")
-    return t.select("doc_id", F.substring("text", 1, 12_000).alias("keyword_text"), F.when(F.length("text") > 600, F.concat(F.substring("text", 1, 600), F.lit("[cut]"))).otherwise(F.col("text")).alias("summary_text"))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("cluster"), F.col("doc_id").alias("id"), F.col("text").alias("document"))
+    k = keywords.blobs(t, 12_000).select(F.col("cluster").alias("doc_id"), F.col("blob").alias("keyword_text"))
+    return k.join(keywords.blobs(t, 600_000, report.RULE, cut_mark=report.CUT_MARK, strip=True).select(F.col("cluster").alias("doc_id"), F.col("blob").alias("summary_text")), "doc_id")
 
 
 @query(f"SELECT doc_id, CASE WHEN length(text) > 200 THEN regexp_replace(substr(text, 1, 199), '{WS}+$', '') || '…' ELSE text END AS clamped FROM documents")
@@ -277,10 +280,14 @@ def band_violations(spark: SparkSession, d: str) -> DataFrame:
     return j.select("conversation_id", "n_words", F.col("transcript_word_count").alias("recorded"), (F.col("n_words") != F.col("transcript_word_count")).alias("miscounted"), dialogue.violates(F.col("n_words"), b["min"], b["max"]).alias("violates"))
 
 
-@query(f"WITH {CONVERSATIONS} SELECT c.conversation_id AS conversation_id, c.transcript_path AS transcript_path FROM c WHERE NOT EXISTS (SELECT 1 FROM transcript_turns t WHERE t.conversation_id = c.c.conversation_id)")
+@query(f"""WITH {CONVERSATIONS}, p AS (SELECT c.conversation_id AS conversation_id, c.transcript_path AS transcript_path FROM c),
+  h AS (SELECT DISTINCT p.transcript_path AS path FROM p JOIN transcript_turns t ON t.conversation_id = p.conversation_id WHERE t.turn_no > 12 AND {strip_sql("coalesce(t.text, '')")} <> '')
+  SELECT conversation_id, transcript_path FROM p WHERE transcript_path IS NULL OR transcript_path NOT IN (SELECT path FROM h)""")
 def qa_missing_transcripts(spark: SparkSession, d: str) -> DataFrame:
-    have = table(spark, d, "transcript_turns").select("conversation_id").distinct()
-    return conversations(spark, d).join(have, "conversation_id", "left_anti").select("conversation_id", "transcript_path")
+    """Conversations whose file has no thirteenth turn or later one with text: of the tables' conversations every one has some turn."""
+    c = conversations(spark, d).select("conversation_id", "transcript_path")
+    have = table(spark, d, "transcript_turns").where("turn_no > 12").join(c, "conversation_id").select("transcript_path", "text")
+    return telesales.missing_transcripts(c, have)
 
 
 # ---- vectors ----------------------------------------------------------------------------------------------
@@ -288,7 +295,7 @@ def qa_missing_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, round(x[1] / n, 6) AS first, round(x[64] / n, 6) AS last FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)")
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors.scaled(table(spark, d, "embeddings"), "l2")
+    v = vectors.scaled(vectors.checked(table(spark, d, "embeddings")), "l2")
     return v.select("vec_id", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(F.element_at("embedding", 64), 6).alias("last"))
 
 
@@ -332,18 +339,17 @@ def cluster_nunique(spark: SparkSession, d: str) -> DataFrame:
     return report.n_clusters(topics(spark, d))
 
 
-@query("SELECT count(*) AS n_clusters, max(n) AS largest, count(*) FILTER (WHERE n <= 5) AS n_tiny, round(max(n) / any_value(total), 6) AS largest_share FROM (SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings) AS total FROM embeddings WHERE label >= 0 GROUP BY label)")
+@query("""SELECT count(*) FILTER (WHERE label >= 0) AS n_clusters, CAST(coalesce(sum(n) FILTER (WHERE label < 0 OR label IS NULL), 0) AS BIGINT) AS n_noise_points, count(*) FILTER (WHERE label >= 0 AND n <= 5) AS n_tiny_islands,
+  max(n) FILTER (WHERE label >= 0) AS largest_cluster, round(max(n) FILTER (WHERE label >= 0) / sum(n), 6) AS largest_cluster_share FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)""")
 def cluster_size_metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    total = e.agg(F.count(F.lit(1)).alias("total"))
-    g = e.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))  # one row
-    return g.agg(F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("largest"), F.count_if(F.col("n") <= 5).alias("n_tiny"), F.round(F.max(F.col("n") / F.col("total")), 6).alias("largest_share"))
+    m = projection.cluster_metrics(table(spark, d, "embeddings").select(F.col("label").alias("cluster")))
+    return m.withColumn("largest_cluster_share", F.round("largest_cluster_share", 6))
 
 
 @query("SELECT round(stddev_pop(x), 6) AS spread_x, round(stddev_pop(y), 6) AS spread_y, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS bbox_area FROM (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)")
 def spread_bbox(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "embeddings").select(F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
-    return p.agg(F.round(F.stddev_pop("x"), 6).alias("spread_x"), F.round(F.stddev_pop("y"), 6).alias("spread_y"), F.round((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), 6).alias("bbox_area"))
+    return projection.spread(p).select(*[F.round(c, 6).alias(c) for c in ("spread_x", "spread_y", "bbox_area")])
 
 
 @query(f"WITH {SCORED} SELECT keywords, cluster, round(avg(cosine_similarities), 6) AS mean_similarity FROM k GROUP BY keywords, cluster")
@@ -399,17 +405,96 @@ def label_join(spark: SparkSession, d: str) -> DataFrame:
     return report.with_labels(s, named)
 
 
-@query(f"""WITH {SCORED}, s AS (SELECT DISTINCT label AS cluster FROM embeddings UNION SELECT 99), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cosine_similarities DESC, keywords) AS rank FROM k)
-  SELECT s.cluster, coalesce(string_agg(r.keywords, ', ' ORDER BY r.rank), 'none') AS words FROM s LEFT JOIN r ON r.cluster = s.cluster AND r.rank <= 10 GROUP BY s.cluster""")
+@query(f"""WITH {SCORED}, s AS (SELECT DISTINCT label AS cluster FROM embeddings UNION SELECT 99), x AS (SELECT *, cosine_similarities / sum(cosine_similarities) OVER (PARTITION BY cluster) AS weight FROM k),
+  r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cosine_similarities DESC, keywords) AS rank FROM x)
+  SELECT s.cluster, coalesce(string_agg('- `' || r.keywords || '`: relevance ' || printf('%.3f', r.cosine_similarities) || ', weight ' || printf('%.3f', r.weight), chr(10) ORDER BY r.rank), '_No keywords for this cluster._') AS keyword_lines
+  FROM s LEFT JOIN r ON r.cluster = s.cluster AND r.rank <= 10 GROUP BY s.cluster""")
 def keywords_left_join(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "embeddings").select(F.col("label").alias("cluster")).union(spark.sql("SELECT 99")).distinct()
-    ws = keywords.listing(scored(spark, d), 10).groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keywords"))), lambda r: r["keywords"]), ", ").alias("words"))
-    return s.join(ws, "cluster", "left").withColumn("words", F.coalesce("words", F.lit("none")))
+    return report.with_keywords(s, keywords.weighted(scored(spark, d)), 10)
+
+
+@query(f"""WITH {SCORED}, s AS (SELECT cluster, count(document) AS n FROM t GROUP BY cluster), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cosine_similarities DESC, keywords) AS rank FROM k)
+  SELECT CAST(row_number() OVER (ORDER BY CAST(s.cluster AS VARCHAR)) AS INT) AS by_name, CAST(row_number() OVER (ORDER BY s.cluster) AS INT) AS by_number, s.cluster, coalesce(r.keywords, 'Cluster ' || s.cluster) AS label, s.n AS cluster_count
+  FROM s LEFT JOIN r ON r.cluster = s.cluster AND r.rank = 1""")
+def report_order(spark: SparkSession, d: str) -> DataFrame:
+    """The report's rows in both of its orders."""
+    n = report.counts(topics(spark, d)).withColumn("text_summary", F.lit(""))
+    kw = keywords.weighted(scored(spark, d))
+    by_name, by_number = report.frame(n, kw), report.frame(n, kw, numeric=True)
+    return by_name.select(F.col("position").alias("by_name"), "cluster", "label", "cluster_count").join(by_number.select(F.col("position").alias("by_number"), "cluster"), "cluster")
 
 
-@query("SELECT '| ' || branch_code || ' | ' || region || ' | ' || CAST(is_active AS VARCHAR) || ' |' AS line FROM branches")
+@query("SELECT cluster, 'Topic ' || cluster AS label FROM (SELECT DISTINCT label AS cluster FROM embeddings WHERE label >= 0)")
+def strict_labels(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "embeddings").where("label >= 0").select(F.col("label").alias("cluster")).distinct()
+    return report.strict_labels(s, s.select("cluster", F.concat(F.lit("Topic "), F.col("cluster").cast("string")).alias("label")))
+
+
+@query("SELECT '| ' || doc_id || ' | ' || replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), '<br>'), chr(10), '<br>'), '|', '\\|') || ' | ' || coalesce(source, '') || ' |' AS line FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 2000)")
 def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.markdown_rows(table(spark, d, "branches").select("branch_code", "region", "is_active"))
+    return sinks.markdown_rows(table(spark, d, "documents").select("doc_id", "text", "source"))
+
+
+@query("SELECT doc_id, lang AS label, n_chars AS size FROM documents WHERE lang IS NOT NULL")
+def json_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Values read back from answers with a fence, with words around the object, or with a second object behind it."""
+    t = table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", "lang", "n_chars")
+    j = F.to_json(F.struct("lang", F.col("n_chars").cast("string").alias("size")))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```JSON\n"), j, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("The answer is "), j, F.lit(" as asked.")))
+    m = t.select("doc_id", text.json_salvage(said).alias("m"), F.from_json(text.json_prefix(F.concat(j, F.lit(' {"x": 1}'))), "size string").alias("p"))
+    return m.select("doc_id", F.col("m")["lang"].alias("label"), F.col("p.size").cast("bigint").alias("size"))
+
+
+@query("""SELECT source_file, line_no, CAST(TRY_CAST(substr(created_at, 1, 10) AS DATE) AS VARCHAR) AS created_on, CASE WHEN line_no % 3 = 0 THEN -1 ELSE CAST(trunc(line_no / 4.0) AS BIGINT) END AS n,
+  source_file AS path, 'elsewhere/' || source_file AS other_path FROM feedback_raw""")
+def coerced_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Dates from ISO text, counts from text, paths below a folder."""
+    r = raw(spark, d)
+    n = F.when(F.col("line_no") % 3 == 0, F.lit("many")).otherwise((F.col("line_no") / 4).cast("string"))
+    return r.select("source_file", "line_no", text.iso_date("created_at", strict=False).cast("string").alias("created_on"), F.coalesce(text.whole_number(n), F.lit(-1)).alias("n"), text.relative_path(F.concat(F.lit("/in/feedback/"), "source_file"), F.lit("/in/feedback/")).alias("path"), text.relative_path(F.concat(F.lit("elsewhere/"), "source_file"), F.lit("/in")).alias("other_path"))
+
+
+# ---- sinks and sources, there and back ----------------------------------------------------------------------
+
+
+@query("""SELECT source_file, count(*) AS n, CAST(coalesce(sum(length(verbatim)), 0) AS BIGINT) AS n_chars, count(DISTINCT case_id) AS n_cases, count(*) FILTER (WHERE has_attachments) AS n_attachments
+  FROM (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(branch_code, '^\\s+|\\s+$', '', 'g'), '[<>:"/\\\\|?*]', '_', 'g'), ''), 'branch_unknown') || '.jsonl' AS source_file FROM (SELECT * EXCLUDE (source_file) FROM feedback_raw)) GROUP BY source_file""")
+def feedback_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All records through a file per branch and the strict reader; a branch's further files count as its first."""
+    at = f"{shared_folder(spark)}/feedback"
+    sinks.branch_jsonl(raw(spark, d).select(*FEEDBACK_COLUMNS), at)
+    back = jsonl.records(spark, at).withColumn("source_file", F.regexp_replace("source_file", r"\.\d+\.jsonl$", ".jsonl"))
+    return back.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("verbatim")), F.lit(0)).alias("n_chars"), F.count_distinct("case_id").alias("n_cases"), F.count_if("has_attachments").alias("n_attachments"))
+
+
+@query(f"""WITH r AS (SELECT {strip_sql("coalesce(case_id, '')")} = '' AS no_id, {strip_sql("coalesce(verbatim, '')")} = '' AS no_text FROM feedback_raw) SELECT 'seen' AS counter, count(*) AS n FROM r UNION ALL SELECT 'malformed', 2
+  UNION ALL SELECT 'skipped_id', count(*) FILTER (WHERE no_id) FROM r UNION ALL SELECT 'skipped_text', count(*) FILTER (WHERE no_text AND NOT no_id) FROM r""")
+def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What a folder with all records and two lines that are no objects counts."""
+    at = f"{shared_folder(spark)}/counted"
+    sinks.branch_jsonl(raw(spark, d).select(*FEEDBACK_COLUMNS), at)
+    sinks.text_file(spark, '{"case_id": "a"} x\n\n[1]\n', f"{at}/broken.jsonl")
+    c = jsonl.counters(spark, at)
+    return c.unpivot([], ["seen", "malformed", "skipped_id", "skipped_text"], "counter", "n")
+
+
+@query(ORACLES["upsert_merge"].replace(", 'new' AS origin", "").replace(", 'old' FROM", " FROM"))
+def collection_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The old points written, the new ones upserted into their buckets, all read back."""
+    at = f"{shared_folder(spark)}/store"
+    old = table(spark, d, "voc_collection").select("id", "document", F.col("metadata.status").alias("status"), "embedding")
+    collection.write(spark, at, "points", old, {"id_mode": "case_id"}, reset=True)
+    collection.write(spark, at, "points", ingest.points(raw(spark, d)).select("id", "document", F.col("meta_status").alias("status")))
+    return collection.read(spark, at).select("id", "document", "status")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)), 12) DESC, b.id) AS r
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0) SELECT id, label AS cluster FROM s WHERE r = 1""")
+def predicted_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of the nearest other vector of every vector whose number is divisible by 50."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster"))
+    return density.predict(v.where("id % 50 = 0").drop("cluster"), v, "id", "embedding").select("id", "cluster")
 
 
 # ---- without SQL: iterative or seeded -----------------------------------------------------------------------
@@ -443,16 +528,26 @@ def report_frame(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def synthetic_feedback(spark: SparkSession, d: str) -> DataFrame:
-    """Made-up feedback records."""
+    """Made-up feedback records, texts asked for chunk by chunk."""
     return synth.feedback(spark)
 
 
 @query()
 def synthetic_dialogues(spark: SparkSession, d: str) -> DataFrame:
-    """Specifications of made-up dialogues with the words of their turns."""
-    s = synth.dialogue_specs(spark, 20)
-    n = synth.dialogues(s).groupBy("conversation_id").agg(F.sum(text.word_count("text")).alias("n_words"))
-    return s.join(n, "conversation_id")
+    """Made-up dialogues of the right length, written as a batch with its files, read back and joined by path."""
+    at = f"{shared_folder(spark)}/telesales"
+    specs = synth.dialogue_specs(spark, 20)
+    items = cut_lineage(generation.dialogue_items(specs, generation.TemplateItems(), "en", seed=7))
+    sinks.telesales_batch(generation.batch(specs, items, "tel-batch-1", (45, 300), "2026-01-01T00:00:00+07:00", "en"), generation.turns_of(items), at)
+    c = telesales.conversations(telesales.batches(spark, at))
+    n = telesales.transcripts(spark, at).groupBy("transcript_path").agg(F.sum(text.word_count("text")).alias("n_words"))
+    return c.join(n, "transcript_path").select("conversation_id", "transcript_path", "duration_slot", "transcript_word_count", "n_words")
+
+
+@query()
+def plane_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates of every usable point in the plane, with its cluster there."""
+    return projection.Explorer(_points(spark, d), "id", "embedding").plane(15)[0]
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
