@@ -237,24 +237,41 @@ def sphere(rng, n, d=32):
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
-def test_p7_planted_topics(spark):
+@pytest.mark.parametrize("cell_rows", [4096, 400])
+def test_p7_planted_topics(spark, monkeypatch, cell_rows):
+    """One cell or many, also a part of a cell: topics are whole, thin ones too, and the background belongs to none."""
+    monkeypatch.setattr(p7, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(p7, "PART_ROWS", 2 * cell_rows)
     rng = np.random.default_rng(4)
-    c = sphere(rng, 4)
+    c = sphere(rng, 5)
     rows, truth = [], {}
-    for k, n in enumerate((400, 150, 80, 60)):
+    for k, n in enumerate((400, 150, 80, 60, 20)):
         for i, v in enumerate(c[k] + rng.normal(0, 0.08, (n, 32))):
             rows.append((f"t{k}-{i}", v.tolist()))
             truth[rows[-1][0]] = k
     rows += [(f"b{i}", v.tolist()) for i, v in enumerate(sphere(rng, 120))] + [("z", [0.0] * 32), ("n", None)]
     pts = usable(spark.createDataFrame(rows, "id string, e array<double>"), "id", "e", 32)
-    centres = p7.cluster_centres(pts, 32)
-    assert [r["size"] for r in centres.orderBy("cluster").collect()][0] >= 380 and centres.count() == 4
-    got = {r.id: r.cluster for r in p7.assign(pts, centres, 32).collect()}
-    for k in range(4):
-        own = [got[i] for i, t in truth.items() if t == k]
-        assert max(own.count(v) for v in set(own)) >= 0.97 * len(own)
-    assert sum(got[f"b{i}"] >= 0 for i in range(120)) <= 3
-    assert p7.assign(pts, p7.cluster_centres(pts.limit(0), 32), 32).where("cluster >= 0").count() == 0
+    got = {r.id: r.cluster for r in p7.members(pts, 32).collect()}
+    names = []
+    for k in range(5):
+        own = [got.get(i) for i, t in truth.items() if t == k]
+        names.append(max(set(own), key=own.count))
+        assert own.count(names[-1]) >= 0.97 * len(own)
+    assert len(set(names)) == 5 and None not in names
+    assert sum(f"b{i}" in got for i in range(120)) <= 3
+
+
+def test_p7_copies_and_empty(spark, monkeypatch):
+    """A third of all rows as copies of one point lies in several parts and is one cluster."""
+    monkeypatch.setattr(p7, "CELL_ROWS", 100)
+    monkeypatch.setattr(p7, "PART_ROWS", 60)
+    rng = np.random.default_rng(7)
+    one = sphere(rng, 1)[0]
+    rows = [(f"c{i}", one.tolist()) for i in range(300)] + [(f"b{i}", v.tolist()) for i, v in enumerate(sphere(rng, 600))]
+    pts = usable(spark.createDataFrame(rows, "id string, e array<double>"), "id", "e", 32)
+    got = {r.id: r.cluster for r in p7.members(pts, 32).collect()}
+    assert {f"c{i}" for i in range(300)} <= set(got) and len({got[f"c{i}"] for i in range(300)}) == 1
+    assert p7.members(pts.limit(0), 32).count() == 0
 
 
 def test_p7_neighbour_descent_recall():
@@ -264,7 +281,7 @@ def test_p7_neighbour_descent_recall():
     s = x @ x.T
     np.fill_diagonal(s, -2)
     exact = np.argsort(-s, axis=1)[:, :10]
-    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(idx, exact, strict=True)]) >= 0.85 and (np.diff(sim, axis=1) <= 1e-6).all()
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(idx, exact, strict=True)]) >= 0.9 and (np.diff(sim, axis=1) <= 1e-6).all()
 
 
 def test_p8_packing(spark):

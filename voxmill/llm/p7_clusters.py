@@ -6,7 +6,7 @@ descent builds an approximate nearest-neighbour graph. Points whose k-th neighbo
 structureless cloud of as many points as the collection has are background. Modularity-based community detection
 runs over the edges among the others. Communities of different cells are tied by the points they share; ties whose
 union raises the modularity of this contracted graph, and that hold more than stray points, join communities into
-clusters. A point belongs to the cluster of its community; a cluster is described by its size and by the members of
+clusters. What belongs to none goes through the same once more. A point belongs to the cluster of its community; a cluster is described by its size and by the members of
 highest weighted degree inside of their community.
 """
 
@@ -36,8 +36,8 @@ NEIGHBOURS = 12
 TREES, LEAF_ROWS = 5, 384
 #: Rounds of neighbour descent at most; it ends when fewer than this share of the lists change.
 ROUNDS, SETTLED = 12, 0.05
-#: Resolution of the modularity.
-RESOLUTION = 0.5
+#: Resolution of the modularity; local moving ends when three times in a row no more than this share of the nodes move.
+RESOLUTION, FEW_MOVES = 0.5, 0.002
 #: How far above the structureless cloud the valley between background and topics is sought, and half its width.
 VALLEY, WIDTH = 0.20, 0.02
 #: Bins of the similarities between -1 and 1, and the chance with which a point of the cloud may lie above its bound.
@@ -209,7 +209,7 @@ def _local_moving(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, resolutio
         go = (best_g > stay[best_n] + 1e-12) & (best_c != lab[best_n])
         go &= rng.random(len(go)) < (0.5 if turn < 50 else 0.2)
         lab[best_n[go]] = best_c[go]
-        still = still + 1 if not go.any() else 0
+        still = still + 1 if go.sum() <= n * FEW_MOVES else 0
         if still >= 3:
             break
     return lab
@@ -349,7 +349,19 @@ def _graph(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def members(points: DataFrame, dim: int) -> DataFrame:
-    """(id, cluster, degree): the points (id, v) that belong to a cluster; a cluster is named by one of its communities."""
+    """(id, cluster, degree): the points (id, v) that belong to a cluster, which is named by one of its communities.
+
+    A thin topic may be spread over the cells of pivots of other topics. So the points that belong to none are dealt
+    into cells anew, by pivots of their own, where thin topics stay together.
+    """
+    first = _members(points, dim)
+    rest = cut_lineage(points.join(first.select("id").hint("merge"), "id", "left_anti"))
+    second = _members(rest, dim)
+    return first.unionByName(second.withColumn("cluster", -1 - F.col("cluster")))
+
+
+def _members(points: DataFrame, dim: int) -> DataFrame:
+    """One pass of `members`."""
     graphs, n = cell_graphs(points, dim)
 
     def kth(b: pa.RecordBatch) -> dict | None:
@@ -381,7 +393,7 @@ def members(points: DataFrame, dim: int) -> DataFrame:
     home = cut_lineage(home.select("id", "best.community", "best.degree", "other.community", 1 - F.col("best.kth"), 1 - F.col("other.kth")).toDF("id", "community", "degree", "other", "far", "other_far"))
     joined = connected_components(_ties(home))
     out = home.join(joined.withColumnRenamed("node", "community").hint("merge"), "community", "left")
-    return out.select("id", F.coalesce("component", "community").alias("cluster"), "degree")
+    return cut_lineage(out.select("id", F.coalesce("component", "community").alias("cluster"), "degree"))
 
 
 def _ties(home: DataFrame) -> DataFrame:
@@ -406,7 +418,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, dim = _points(spark, sf_dir)
     seeds = usable(table(spark, sf_dir, "cluster_seeds"), "seed_no", "embedding", dim)
     named = lambda df, kind: df.select(F.concat(F.lit(kind), F.col("id").cast("string")).alias("id"), "v")
-    found = cut_lineage(members(named(points, "p").unionByName(named(seeds, "s")), dim))
+    found = members(cut_lineage(named(points, "p").unionByName(named(seeds, "s"))), dim)
     of = lambda kind: found.where(F.startswith("id", F.lit(kind))).select(F.substr("id", F.lit(2)).alias("id"), "cluster")
     number = seeds.schema["id"].dataType
     return of("p").join(of("s").select(F.col("id").cast(number).alias("seed_no"), "cluster"), "cluster").select("seed_no", "id").distinct()
@@ -416,7 +428,7 @@ def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster with the number of its points and its most typical members, the largest first; -1 are the points of none."""
     points, dim = _points(spark, sf_dir)
     points = points.select(F.col("id").cast("string").alias("id"), "v")
-    found = cut_lineage(members(points, dim))
+    found = members(points, dim)
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_points"))
     best = Window.partitionBy("cluster").orderBy(F.desc("degree"), "id")
     typical = found.withColumn("r", F.row_number().over(best)).where(f"r <= {TYPICAL}").groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]), ",").alias("typical_ids"))
