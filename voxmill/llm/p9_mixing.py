@@ -2,9 +2,10 @@
 
 The mix is as large as all documents together, each counted once; a source's budget is its share of that.
 Documents of a source are counted by their exact token length, and everything is decided on that histogram:
-whole repeats first, then of every length the same fraction, then a bounded knapsack by dynamic programming
-over the lengths hits the rest of the budget as exactly as it can be hit. The documents themselves are chosen
-by a seeded rank within their length. A source that cannot fill its budget gives all it may.
+whole repeats first, then of every length the same fraction, rounded so that the largest remainders get a document
+more, then a bounded knapsack by dynamic programming over the lengths hits the rest, a few documents, as exactly as it
+can be hit. The documents themselves are chosen by a seeded rank within their length. A source that
+cannot fill its budget gives all it may.
 """
 
 from __future__ import annotations
@@ -18,29 +19,37 @@ from voxmill.llm.tokens import TOKENIZER, token_counts
 from voxmill.session import cut_lineage, table
 
 SEED = 17
-#: Largest rest of a budget, in tokens, that the dynamic programme takes; above it long documents are added first.
-KNAPSACK_TOKENS = 1 << 16
+#: So many of the longest documents fit into the rest that the dynamic programme fills: enough to hit it.
+KNAPSACK_DOCUMENTS = 4
 
 
 def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take, so that their sum is the largest not above `budget`."""
+    """How many documents of each length to take, so that their sum is the largest not above `budget`.
+
+    A bit set of the sums that can be reached grows step by step; of every sum the step that reached it first is
+    kept, so memory is a few bytes a token of the budget, however many lengths there are. It ends when the budget is hit.
+    """
+    out = [0] * len(lengths)
     if budget <= 0:
-        return [0] * len(lengths)
-    mask = (1 << (budget + 1)) - 1
-    reach, steps = 1, []
+        return out
+    mask, reach = (1 << (budget + 1)) - 1, 1
+    steps: list[tuple[int, int]] = []
+    by = np.full(budget + 1, -1, np.int32)
     for i, (n, c) in enumerate(zip(lengths, counts, strict=True)):
         left, size = min(c, budget // n if n else 0), 1
-        while left > 0:  # c copies as 1, 2, 4, ... and a rest
+        while left > 0 and not reach >> budget:  # c copies as 1, 2, 4, ... and a rest
             take = min(size, left)
-            steps.append((i, take, reach))
-            reach |= (reach << (n * take)) & mask
+            new = (reach << (n * take)) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes((budget >> 3) + 1, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits)] = len(steps)
+                reach |= new
+            steps.append((i, take))
             left -= take
             size *= 2
     at = reach.bit_length() - 1
-    out = [0] * len(lengths)
-    for i, take, before in reversed(steps):
-        if before >> at & 1:
-            continue
+    while at > 0:
+        i, take = steps[by[at]]
         out[i] += take
         at -= lengths[i] * take
     return out
@@ -61,16 +70,17 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int)
     rest = budget - whole * total
     part = np.where(ok, (counts * rest) // total, 0)
     out += part
+    remainder = np.where(ok, (counts * rest) % total, 0)
     rest -= int((lengths * part).sum())
     room = np.where(ok, counts - part, 0)
-    for i in np.argsort(-lengths, kind="stable"):  # a rest too large for the programme
-        if rest <= KNAPSACK_TOKENS or not lengths[i]:
-            break
-        take = min(int(room[i]), (rest - KNAPSACK_TOKENS) // int(lengths[i]) + 1, rest // int(lengths[i]))
-        out[i] += take
-        room[i] -= take
-        rest -= take * int(lengths[i])
-    fits = np.flatnonzero((room > 0) & (lengths <= rest))
+    order = np.lexsort((lengths, -remainder))
+    order = order[(room[order] > 0) & (remainder[order] > 0)]
+    more = order[: np.searchsorted(np.cumsum(lengths[order]), rest - KNAPSACK_DOCUMENTS * int(lengths.max()), side="right")]
+    out[more] += 1
+    room[more] -= 1
+    rest -= int(lengths[more].sum())
+    by_remainder = np.lexsort((lengths, -remainder))
+    fits = by_remainder[(room[by_remainder] > 0) & (lengths[by_remainder] <= rest) & ok[by_remainder]]
     more = bounded_knapsack(lengths[fits].tolist(), room[fits].tolist(), rest)
     out[fits] += np.array(more, np.int64)
     return out
