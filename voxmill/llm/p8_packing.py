@@ -23,7 +23,8 @@ from voxmill.session import cut_lineage, table
 PARTITION_PIECES = 20_000
 #: A container filled at least so far is not opened again.
 FULL = 0.995
-MAX_ROUNDS = 8
+#: Exchange ends when a round leaves more than this share of the partitions to be packed again.
+STALLED = 0.9
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -107,8 +108,8 @@ def pack(sizes: DataFrame, id_col: str, capacities: DataFrame) -> tuple[DataFram
     # Full pieces fill a container of their own: nothing to pack.
     done = [todo.where("n_tokens = capacity").select(*todo.columns, F.concat_ws("-", F.lit("whole"), F.col("id").cast("string"), "piece_no").alias("container"))]
     todo = todo.where("n_tokens < capacity")
-    for r in range(MAX_ROUNDS):
-        last = parts == 1 or r == MAX_ROUNDS - 1
+    r, last = 0, parts == 1
+    while True:
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("id", "piece_no", F.lit(r)), F.lit(parts)))
         packed = cut_lineage(dealt.groupBy("spec_id", "part").applyInPandas(_packer(r, last, names), f"{fields}, container string"))
         done.append(packed.where("container IS NOT NULL"))
@@ -116,7 +117,8 @@ def pack(sizes: DataFrame, id_col: str, capacities: DataFrame) -> tuple[DataFram
         left = 0 if last else todo.count()
         if not left:
             break
-        parts = min(max(1, -(-left // PARTITION_PIECES)), max(1, parts // 2))
+        fewer = max(1, -(-left // PARTITION_PIECES))
+        last, parts, r = fewer == 1 or fewer > STALLED * parts, min(fewer, parts), r + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
