@@ -176,4 +176,9 @@ def p1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(verbatims(spark, sf_dir), "case_id", "verbatim")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repetition": p1_repetition}
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and repeated ones of every case."""
+    return score(verbatims(spark, sf_dir), "case_id", "verbatim").select("case_id", "n_words", F.round(F.col("repeated_share") * F.col("n_words")).cast("bigint").alias("n_repeated"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_repetition": p1_repetition, "p1_shares": p1_shares}

@@ -162,4 +162,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pack(spark, sf_dir)[1]
 
 
-QUERIES = {"p8_found": p8_found, "p8_packing": p8_packing, "p8_containers": p8_containers}
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per specification: documents packed, containers above capacity, documents split without need, whether the containers are within a hundredth of the bound."""
+    packed, made = _pack(spark, sf_dir)
+    caps = table(spark, sf_dir, "container_specs")
+    over = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("t")).join(caps, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_overfull"))
+    whole = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.max("n_pieces").alias("n")).join(caps, "spec_id")
+    docs = whole.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("n_split_without_need"))
+    near = made.select("spec_id", (F.col("n_containers") <= F.ceil(F.col("lower_bound") * 1.01)).alias("near_bound"))
+    return docs.join(over, "spec_id").join(near, "spec_id")
+
+
+QUERIES = {"p8_checks": p8_checks, "p8_found": p8_found, "p8_packing": p8_packing, "p8_containers": p8_containers}

