@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from voxmill.llm.vectors import declared_dim, matrix, usable
 from voxmill.session import cut_lineage, table
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 16_384
 #: Out-degree, beam of the insertion, relaxation of the pruning, points inserted at once.
 DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.1, 1024
 #: Beam of a query: this, and at least so many times k.
-QUERY_BEAM, QUERY_BEAM_K = 256, 8
+QUERY_BEAM, QUERY_BEAM_K = 384, 8
 #: Points among which a search picks where to enter.
 ENTRIES, ENTER_AT = 64, 8
 #: Queries that travel together.
@@ -112,7 +112,45 @@ def build_graph(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         ids, sim = beam_search(x, graph, x[new], BEAM, entries)
         graph[new] = robust_prune(x, ids, sim)
         _link_back(x, graph, new)
-    return graph, entries
+    return _reachable(graph, entries), entries
+
+
+def _reachable(graph: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The graph with more columns, so that a walk from the entries can reach every point: what pruning cut off is tied to its own neighbours again."""
+    n = len(graph)
+    extra: list[tuple[np.ndarray, np.ndarray]] = []
+    seen = np.zeros(n, bool)
+    seen[entries] = True
+    front = entries
+    while True:
+        while len(front):
+            near = graph[front].ravel()
+            near = np.unique(near[near >= 0])
+            front = near[~seen[near]]
+            seen[front] = True
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            break
+        to = graph[lost]
+        known = (to >= 0) & seen[np.maximum(to, 0)]
+        at = known.any(1)
+        if not at.any():  # a part without any edge to the rest hangs on an entry
+            lost, src = lost[:1], entries[:1]
+        else:
+            lost = lost[at]
+            src = to[at][np.arange(len(lost)), known[at].argmax(1)]
+        extra.append((src, lost))
+        seen[lost] = True
+        front = lost
+    if not extra:
+        return graph
+    src, dst = (np.concatenate(z) for z in zip(*extra, strict=True))
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    rank = np.arange(len(src)) - np.searchsorted(src, src)
+    more = np.full((n, int(rank.max()) + 1), -1, graph.dtype)
+    more[src, rank] = dst
+    return np.concatenate([graph, more], axis=1)
 
 
 def _link_back(x: np.ndarray, graph: np.ndarray, new: np.ndarray) -> None:
@@ -201,7 +239,7 @@ def search(index: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 x = np.frombuffer(r["vectors"], np.float32).reshape(-1, dim)
-                graph = np.frombuffer(r["graph"], np.int32).reshape(len(x), DEGREE)
+                graph = np.frombuffer(r["graph"], np.int32).reshape(len(x), -1)
                 entries, q = np.frombuffer(r["entries"], np.int32), np.frombuffer(r["qv"], np.float32).reshape(-1, dim)
                 most = max(r["ks"], default=0) + 1  # the query's own point may be among them
                 found, sim = [], []
