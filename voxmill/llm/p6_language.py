@@ -36,6 +36,8 @@ BUCKETS = 1 << 15
 LEAST_COSINE, LEAST_LEAD, LEAST_LETTERS = 0.12, 0.04, 24
 #: Letters from which another language than the document's main one counts, and the confidence from which a shorter sentence does.
 DISSENT_LETTERS, SHORT_CONFIDENCE = 40, 0.5
+#: A segment shorter than LEAST_LETTERS decides too if it has so many letters and this confidence. Below that a name looks like a language.
+SHORTEST_LETTERS, SHORTEST_CONFIDENCE = 16, 0.6
 SENTENCE = re.compile(r"(?<=[.!?…])[\s ]+|\n+")
 #: Documents that are scored at once.
 BLOCK = 400
@@ -153,8 +155,9 @@ def classify(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarr
             top = np.take_along_axis(per, order, 1)
             lead = top[:, 0] - (top[:, 1] if per.shape[1] > 1 else 0)
             k = names[order[:, 0]]
-            sure = (top[:, 0] >= LEAST_COSINE) & (lead >= LEAST_LEAD) & (letters[: len(segs)] >= LEAST_LETTERS)
             c = np.clip(lead / np.maximum(top[:, 0], 1e-9), 0, 1)
+            long_enough = (letters[: len(segs)] >= LEAST_LETTERS) | ((letters[: len(segs)] >= SHORTEST_LETTERS) & (c >= SHORTEST_CONFIDENCE))
+            sure = (top[:, 0] >= LEAST_COSINE) & (lead >= LEAST_LEAD) & long_enough
             np.add.at(vote, (doc, k), np.where(sure, letters[: len(segs)], 0.01 * letters[: len(segs)]) * np.maximum(top[:, 0], 0))
             main = np.where(vote.sum(1) > 0, vote.argmax(1), -1)
             said = np.zeros((len(parts), len(LANGS)))  # letters of each language; a few, unless very clear, do not make a document mixed
