@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,8 @@ from pyspark.sql import functions as F
 from voxmill.operators import density, keywords, projection, report, synth, vectors
 from voxmill.operators.components import connected_components
 from voxmill.plans import pipeline, queries
-from voxmill.config import GeneratorConfig, PipelineConfig, check_range, find_settings, secret
+from voxmill.plans.tools import TopicTools
+from voxmill.config import GeneratorConfig, PipelineConfig, check_range, find_settings, secret, service
 
 
 def blobs(seed=0):
@@ -181,6 +184,33 @@ def test_end_to_end(spark, tmp_path):
     assert (tmp_path / "report.md").read_text().count("###") >= 3
 
 
+def test_tools_and_planes(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(f"{k}-{i}", f"Card fee refund number {i} of group {k}.", (np.eye(8)[k] + rng.normal(0, 0.05, 8)).tolist()) for k in range(3) for i in range(25)]
+    t = TopicTools(spark.createDataFrame(rows, "id string, document string, embedding array<double>"), str(tmp_path))
+    got = t.evaluate({"low": 5, "high": 6})
+    assert [r["n_neighbors"] for r in got["candidates"]] == [5, 6] and got["suggested"] in (5, 6)
+    a, b = t.visualise({"n_neighbors": 5}), t.visualise({"n_neighbors": 5})
+    assert a == b and list(t.explorer.made) == [5] and spark.read.parquet(a["folder"]).columns == ["id", "x", "y", "cluster"]
+    assert spark.read.parquet(a["folder"]).count() == 75 and a["spread_x"] > 0 and a["largest_cluster"] <= 75
+    done = t.finalise({"n_neighbors": 5})
+    assert done["n_documents"] == 75 and sum(done["clusters"].values()) == 75 and (tmp_path / "report.md").exists()
+
+
+def test_metrics_of_empty_tables(spark):
+    none = spark.createDataFrame([], "cluster int, x double, y double")
+    assert projection.cluster_metrics(none).first().asDict() == {"n_clusters": 0, "n_noise_points": 0, "n_tiny_islands": 0, "largest_cluster": 0, "largest_cluster_share": 0.0}
+    assert tuple(projection.spread(none).first()) == (0.0, 0.0, 0.0)
+
+
+def test_knn_blocks_ties_and_lengths(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(6)] + [(10, [0.0, 1.0]), (11, [0.0, 0.0]), (12, None), (13, [1.0]), (14, [1.0, 1.0])]
+    got = [tuple(r) for r in vectors.knn(spark.createDataFrame(rows, "id int, embedding array<double>"), 2, "id").select("id", "neighbour", "rank").orderBy("id", "rank").collect()]
+    assert got[:6] == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 0, 1), (2, 1, 2)] and {r[0] for r in got} == {0, 1, 2, 3, 4, 5, 10, 14}
+    assert [r[1] for r in got if r[0] == 10] == [14, 0]
+    assert vectors.knn(spark.createDataFrame([], "id int, embedding array<double>"), 2, "id").count() == 0
+
+
 def test_synthetic(spark):
     f = synth.feedback(spark, n_branches=4, rows_min=3, rows_max=6)
     a, b = f.orderBy("case_id").collect(), f.repartition(3).orderBy("case_id").collect()
@@ -200,6 +230,10 @@ def test_settings(tmp_path, monkeypatch):
     path, got = find_settings(str(tmp_path / "a"), "gemini")
     monkeypatch.setenv("MY_KEY", "k")
     assert path.parent == tmp_path and secret(None, got, "OTHER") == "k" and secret("x", got, "OTHER") == "x"
+    assert service(str(tmp_path / "a"), "gemini", "OTHER_KEY") == ({"api_key_env": "MY_KEY"}, "k") and os.environ.pop("OTHER_KEY") == "k"
+    with pytest.raises(ValueError, match="no key"):
+        service(str(tmp_path), "none", "OTHER_KEY")
+    assert GeneratorConfig.near(str(tmp_path)).chunk_size == 10
     assert GeneratorConfig.of({"timeout_ms": 0, "chunk_size": 0}).timeout_ms is None
     with pytest.raises(ValueError):
         check_range("n", 3, 2)

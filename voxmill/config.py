@@ -70,6 +70,20 @@ def secret(given: str | None, settings: dict | None, default_env: str) -> str |
     return None
 
 
+def service(start: str, block: str, default_env: str, given: str | None = None) -> tuple[dict, str]:
+    """(settings, key) of a remote service: the nearest settings file that has the block, none being fine, and the key.
+
+    The key is put into the variable where clients look for it. No key anywhere is a ValueError.
+    """
+    found = find_settings(start, block)
+    settings = found[1] if found else {}
+    key = secret(given, settings, default_env)
+    if not key:
+        raise ValueError(f"no key: give one, or set {settings.get('api_key_env') or default_env}")
+    os.environ[default_env] = key
+    return settings, key
+
+
 def check_range(name: str, low: float, high: float, least: float = 0) -> None:
     """Raises ValueError unless least <= low <= high."""
     if not least <= low <= high:

@@ -67,6 +67,8 @@ def feedback(spark: SparkSession, n_branches: int = 5, rows_min: int = 5, rows_m
     """
     check_range("rows", rows_min, rows_max, 1)
     check_range("chars", min_chars, max_chars, 1)
+    check_range("branches", 1, n_branches)
+    check_range("customers", 1, least_customers)
     s = F.lit(seed)
     b = branches(spark, n_branches, seed).withColumn("n", (F.lit(rows_min) + F.floor(uniform(s, F.lit("n"), F.col("branch_index")) * (rows_max - rows_min + 1))).cast("int"))
     r = b.withColumn("made", F.explode(F.expr("sequence(1, n)"))).withColumn("submission_type", F.when(F.col("made") * 2 <= F.col("n") + 1, TYPES[0]).otherwise(TYPES[1]))
@@ -108,6 +110,7 @@ def repair(df: DataFrame, seed: int = 7, language: str | None = None, submission
 
 def dialogue_specs(spark: SparkSession, n: int, min_seconds: float = 45, max_seconds: float = 300, language: str = "en", year: int = 2026, seed: int = 7) -> DataFrame:
     """One row per dialogue to write: slot, target seconds, band of words."""
+    check_range("dialogues", 1, n)
     check_range("seconds", min_seconds, max_seconds, 1)
     i, total = F.col("row_index"), F.lit(n)
     base = spark.range(1, n + 1).select(F.col("id").cast("int").alias("row_index")).withColumn("duration_slot", slot(i, total))
