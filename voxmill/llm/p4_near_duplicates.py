@@ -157,7 +157,7 @@ def similar_pairs(signatures: DataFrame, src: DataFrame) -> DataFrame:
     wanted = near.select(F.col("u").alias("set_id")).union(near.select("v")).distinct()
     one = cut_lineage(_joined(signatures, wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id")))
     chosen = _joined(bloom_keep(src, "id", one), one, "id").dropDuplicates(["set_id"])
-    words = arrow_map(chosen.select("set_id", "text"), lambda b: {"set_id": b.column("set_id"), "bag": bags(b.column("text").to_pylist())}, "set_id binary, bag array<bigint>")
+    words = cut_lineage(arrow_map(chosen.select("set_id", "text"), lambda b: {"set_id": b.column("set_id"), "bag": bags(b.column("text").to_pylist())}, "set_id binary, bag array<bigint>"))
     both = _joined(_joined(near, words.select(F.col("set_id").alias("u"), F.col("bag").alias("a")), "u"), words.select(F.col("set_id").alias("v"), F.col("bag").alias("b")), "v")
     common = both.withColumn("k", F.size(F.array_intersect("a", "b")))
     return common.select("u", "v", (F.col("k") / (F.size("a") + F.size("b") - F.col("k"))).alias("similarity")).where(f"similarity >= {SIMILARITY}")
