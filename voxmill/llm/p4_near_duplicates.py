@@ -38,6 +38,8 @@ HASHES = 128
 SIMILARITY = 0.75
 #: Largest distance of the sketches of a pair; 3.8 standard deviations above the mean at 0.75.
 WHOLE_DISTANCE = 30
+#: The same of the first half of the sketches, which goes through the self-join; 4.5 standard deviations.
+HALF_DISTANCE = 20
 #: Keys of a shuffle partition of the self-join, about.
 PARTITION_KEYS = 500_000
 #: Keys are counted in so many bins at most, of BIN_KEYS keys on average where there are fewer.
@@ -123,12 +125,12 @@ def _cells(rows: DataFrame, row: Column, first: bool) -> DataFrame:
 
 
 def _meetings(classes: DataFrame) -> DataFrame:
-    """(c, d): numbers of classes that share a key and whose sketches are close, c < d; a pair comes once for each key."""
+    """(c, d): numbers of classes that share a key and whose half sketches are close, c < d; a pair comes once for each key."""
     # A class goes through the join by a short number; the set id decides later, so equal numbers do no harm.
-    keyed = classes.select(F.xxhash64("set_id").alias("c"), "s0", "s1", F.explode(_ball_keys()).alias("key"))
+    keyed = classes.select(F.xxhash64("set_id").alias("c"), "s0", F.explode(_ball_keys()).alias("key"))
     n_keys = classes.count() * SEGMENTS * SEGMENT_SYMBOLS
     parts, bins = max(1, -(-n_keys // PARTITION_KEYS)), max(1, min(MOST_BINS, n_keys // BIN_KEYS))
-    close = F.expr(f"a.c < b.c AND bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= {WHOLE_DISTANCE}")
+    close = F.expr(f"a.c < b.c AND bit_count(a.s0 ^ b.s0) <= {HALF_DISTANCE}")
     # Bins with a hot key: fewer than `bins` / 4, as each holds four times the mean or more.
     hot_from = max(HOT_ROWS, 4 * n_keys // bins)
     binned = F.pmod(F.col("key"), F.lit(bins))
@@ -148,10 +150,11 @@ def similar_pairs(signatures: DataFrame, src: DataFrame) -> DataFrame:
     # Symbols and sketch follow from the set. Written out, so that both sides of the self-join have one plan to the end.
     classes = cut_lineage(signatures.select("set_id", "symbols", "s0", "s1").distinct())
     met = cut_lineage(_meetings(classes).distinct())
-    number = signatures.select(F.xxhash64("set_id").alias("c"), "set_id")
     ends = met.select("c").union(met.select("d")).distinct()
-    named = _joined(number, ends, "c", "left_semi").distinct()
-    near = _joined(_joined(met, named.select("c", F.col("set_id").alias("u")), "c"), named.select(F.col("c").alias("d"), F.col("set_id").alias("v")), "d")
+    named = _joined(classes.select(F.xxhash64("set_id").alias("c"), "set_id", "s0", "s1"), ends, "c", "left_semi")
+    end = lambda n, at: named.select(F.col("c").alias(n), F.struct("set_id", "s0", "s1").alias(at))
+    near = _joined(_joined(met, end("c", "x"), "c"), end("d", "y"), "d")
+    near = near.where(f"bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {WHOLE_DISTANCE}").select(F.col("x.set_id").alias("u"), F.col("y.set_id").alias("v"))
     near = cut_lineage(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     # The words of the classes that are left, one text for each.
     wanted = near.select(F.col("u").alias("set_id")).union(near.select("v")).distinct()
