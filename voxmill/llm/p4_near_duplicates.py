@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from voxmill.llm.common import arrow_map, bloom_keep, verbatims
 from voxmill.operators.components import connected_components
-from voxmill.session import cut_lineage
+from voxmill.session import cut_lineage, release
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENTS, SEGMENT_SYMBOLS = 6, 6
@@ -150,6 +150,7 @@ def similar_pairs(signatures: DataFrame, src: DataFrame) -> DataFrame:
     # Symbols and sketch follow from the set. Written out, so that both sides of the self-join have one plan to the end.
     classes = cut_lineage(signatures.select("set_id", "symbols", "s0", "s1").distinct())
     met = cut_lineage(_meetings(classes).distinct())
+    release(met.sparkSession)  # the keys of all classes are the largest shuffle
     ends = met.select("c").union(met.select("d")).distinct()
     named = _joined(classes.select(F.xxhash64("set_id").alias("c"), "set_id", "s0", "s1"), ends, "c", "left_semi")
     end = lambda n, at: named.select(F.col("c").alias(n), F.struct("set_id", "s0", "s1").alias(at))
