@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -64,12 +63,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` through a reliable checkpoint in the shared folder; its files survive the loss of any executor."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no table needs any more, as after a large step whose result is checkpointed.
-
-    Spark removes them when the driver collects its garbage, which may otherwise come only after further large steps.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
