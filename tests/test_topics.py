@@ -86,6 +86,32 @@ def test_neighbours_are_exact():
     assert np.allclose(np.sort(d, axis=1)[:, :12], dist) and np.allclose(np.take_along_axis(d, got, 1), dist)
 
 
+def test_cells_find_the_exact_neighbours_of_fewer_pairs(monkeypatch):
+    r = np.random.default_rng(4)
+    x = np.concatenate([*(r.normal(size=64) / 8 + r.normal(0, 0.05, (1_000, 64)) for _ in range(9)), r.normal(0, 0.2, (500, 64)), np.zeros((30, 64)), np.ones((60, 64))])
+    x = x[r.permutation(len(x))]
+    pairs, meet = [], projection.Found.meet
+    monkeypatch.setattr(projection.Found, "meet", lambda f, rows: (pairs.append(len(f.who) * len(rows)), meet(f, rows)))
+    near, dist = projection.all_nearest(x, 15)
+    u = projection.unit(x)
+    for a in range(0, len(x), 1_000):
+        d = np.maximum(1 - u[a : a + 1_000] @ u.T, 0)
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+        assert np.allclose(np.sort(d, axis=1)[:, :15], dist[a : a + 1_000]) and np.allclose(np.take_along_axis(d, near[a : a + 1_000], 1), dist[a : a + 1_000])
+    assert (near[~x.any(1)] < 16).all() and sum(pairs) < 0.6 * len(x) ** 2
+    some = projection.all_nearest(x[:50], 60)[0]
+    assert some.shape == (50, 49) and all(set(row) == set(range(50)) - {i} for i, row in enumerate(some))
+
+
+def test_boxes_compare_few_pairs(monkeypatch):
+    x, pairs = np.random.default_rng(6).normal(size=(6_000, 5)), []
+    real = np.zeros
+    monkeypatch.setattr(density.np, "zeros", lambda shape, *a, **k: (pairs.append(np.prod(shape) if np.ndim(shape) and shape[-1] > 512 else 0), real(shape, *a, **k))[1])
+    e = density.boxed_tree(x)
+    monkeypatch.undo()
+    assert sum(pairs) < 20e6 and np.allclose(np.sort(e[:, 2]), density.spanning_tree(x)[:, 2])
+
+
 def test_sweep_and_projection_take_every_row(spark, data):
     x = np.random.default_rng(1).normal(size=(5_300, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9_999, None)], "id int, embedding array<double>")
