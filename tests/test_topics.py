@@ -112,6 +112,11 @@ def test_boxes_compare_few_pairs(monkeypatch):
     assert sum(pairs) < 20e6 and np.allclose(np.sort(e[:, 2]), density.spanning_tree(x)[:, 2])
 
 
+def test_layout_on_threads():
+    x = np.random.default_rng(1).normal(size=(900, 8))
+    assert (projection.layout(x, 10, 5, epochs=20) == projection.layout(x, 10, 5, epochs=20, threads=4)).all()
+
+
 def test_sweep_and_projection_take_every_row(spark, data):
     x = np.random.default_rng(1).normal(size=(5_300, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9_999, None)], "id int, embedding array<double>")
