@@ -117,6 +117,13 @@ def test_layout_on_threads():
     assert (projection.layout(x, 10, 5, epochs=20) == projection.layout(x, 10, 5, epochs=20, threads=4)).all()
 
 
+def test_vectors_of_single_precision_stay_so(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(1).normal(size=(60, 4)).astype("float32"))]
+    got = [projection._rows(spark.createDataFrame(rows, f"id int, embedding array<{kind}>"), "id", "embedding")[1] for kind in ("float", "double")]
+    assert [v.dtype.name for v in got] == ["float32", "float64"] and (got[0] == got[1]).all()
+    assert (projection.layout(got[0], 8, 2, epochs=20) == projection.layout(got[1], 8, 2, epochs=20)).all()
+
+
 def test_sweep_and_projection_take_every_row(spark, data):
     x = np.random.default_rng(1).normal(size=(5_300, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9_999, None)], "id int, embedding array<double>")
